@@ -1,9 +1,11 @@
 """Token ids of whole texts, written as a table that later stages read.
 
 The tokenizer drops white space, so a text's ids are the ids of its parts
-between spaces and line feeds; ids of parts are kept in a bounded cache and
-parts not seen before are encoded together. Texts that may hold a special
-token's string go to the tokenizer whole.
+between spaces and line feeds. It also ignores case and splits a word from a
+full stop or comma. Ids of parts are kept in a bounded cache of the worker;
+words not seen before are encoded many at a time, apart by a NUL that no
+other part can produce. Texts that may hold a special token's string go to
+the tokenizer whole, and so does every text if the tokenizer is otherwise.
 """
 
 from __future__ import annotations
@@ -17,8 +19,10 @@ from pyspark.sql import DataFrame
 
 from .words import filled
 
-CACHE_PARTS = 300_000
+CACHE_PARTS = 1_200_000
 TOGETHER = 256  # texts
+JOINED = 512  # words
+TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which may begin a contraction
 
 
 @functools.cache
@@ -33,23 +37,75 @@ def load(path: str, special_as_text: bool):
     return tokenizer
 
 
-def drops_space(tokenizer) -> bool:
-    """Whether white space leaves no trace, so that parts can be encoded alone."""
-    a, b = (tokenizer.encode(x, add_special_tokens=False).ids for x in ("x y\nz", " x \n y  z "))
-    return a == b == [i for x in "xyz" for i in tokenizer.encode(x, add_special_tokens=False).ids]
+def splits_as_assumed(tokenizer) -> bool:
+    """Whether white space leaves no trace, case none either, and final stops and NUL stand alone."""
+
+    def ids(x: str) -> list[int]:
+        return tokenizer.encode(x, add_special_tokens=False).ids
+
+    parts = ["xy", "Thé", "1a", "it's", "(b)"]
+    spaced = [i for x in parts for i in ids(x)]
+    same = all(ids(sep.join(parts)) == spaced for sep in (" ", "\n", " \n  "))
+    tails = all(ids(x + y) == ids(x) + ids(y) for x in ("xy", "Thé", "1a") for y in (*TAIL, ".,", "%%%", TAIL))
+    return same and tails and ids("XyÉZ") == ids("xyéz") and len(ids("\0")) == 1 and ids("a \0 b") == ids("a") + ids("\0") + ids("b")
 
 
 class Encoder:
     def __init__(self, path: str, special_as_text: bool = False):
         self.tokenizer = load(path, special_as_text)
-        self.by_part = drops_space(self.tokenizer)
+        self.by_part = splits_as_assumed(self.tokenizer)
         self.marks = () if special_as_text else tuple({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        if self.by_part:
+            self.nul = self.tokenizer.encode("\0", add_special_tokens=False).ids[0]
+            self.tails: dict[str, bytes] = {"": b""}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each of some words without white space or NUL."""
+        out: list[bytes] = []
+        for e, n in zip(self.tokenizer.encode_batch_fast([" \0 ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False), range(0, len(words), JOINED), strict=True):
+            ids = np.array(e.ids, self.dtype)
+            raw, ends = ids.tobytes(), np.flatnonzero(ids == self.nul) * self.dtype.itemsize
+            starts = [0, *(ends + self.dtype.itemsize).tolist()]
+            out.extend(raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True))
+            if len(out) != min(n + JOINED, len(words)):
+                raise ValueError("a word holds what separates words")
+        return out
+
+    def tail(self, punctuation: str) -> bytes:
+        if punctuation not in self.tails:
+            if len(self.tails) > 10_000:
+                self.tails = {"": b""}
+            self.tails[punctuation] = self.whole([punctuation])[0]
+        return self.tails[punctuation]
+
+    def learn(self, parts: set[str]) -> None:
+        """Puts the ids of parts into the cache."""
+        cache, todo, odd = self.cache, [], []
+        for part in parts:
+            base = part.rstrip(TAIL)
+            if not base or not base[-1].isalnum() or base[-1] > "\u024f" or len(base[-1].lower()) > 1:
+                base = part
+            stop = self.tail(part[len(base) :])
+            if base and max(base) < "\u0250":  # beyond, lower case may depend on the neighbours
+                base = base.lower()
+            if (known := cache.get(base)) is not None:
+                cache[part] = known + stop
+            elif "\0" in base or not base or any(c.isspace() for c in (base if not base.isalnum() else "")):
+                odd.append(part)
+            else:
+                todo.append((part, base, stop))
+        for part, ids in zip(odd, self.whole(odd) if odd else [], strict=True):
+            cache[part] = ids
+        bases = list({base for _, base, _ in todo})
+        cache.update(zip(bases, self.words(bases), strict=True))
+        for part, base, stop in todo:
+            cache[part] = cache[base] + stop
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of self.dtype."""
         if not self.by_part:
@@ -58,13 +114,17 @@ class Encoder:
         if len(self.cache) > CACHE_PARTS:
             self.cache.clear()
         cache = self.cache
-        new = list(set().union(*(p for p in parts if p is not None)).difference(cache)) if parts else []
-        for k in range(0, len(new), 4096):
-            cache.update(zip(new[k : k + 4096], self.whole(new[k : k + 4096]), strict=True))
+        self.learn(set().union(*(p for p in parts if p is not None)).difference(cache))
         get = cache.__getitem__
         return [self.whole([t])[0] if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
 
 
+@functools.cache
+def encoder(path: str, special_as_text: bool = False) -> Encoder:
+    """The worker's encoder; its cache serves task after task."""
+    return Encoder(path, special_as_text)
+
+
 COUNTS = "counts"
 IDS = "ids"
 SCHEMA = "kind string, doc_id long, n_tokens long, ids binary"
@@ -74,17 +134,17 @@ def tokenised(path: str, end_id: int | None, special_as_text: bool = False, coun
     """For mapInArrow over (doc_id, text): rows of ids, the end id included; with counts, one row of id frequencies for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, special_as_text)
-        end = b"" if end_id is None else np.array([end_id], encoder.dtype).tobytes()
-        seen = np.zeros(encoder.tokenizer.get_vocab_size() if counts else 0, np.int64)
+        coder = encoder(path, special_as_text)
+        end = b"" if end_id is None else np.array([end_id], coder.dtype).tobytes()
+        seen = np.zeros(coder.tokenizer.get_vocab_size() if counts else 0, np.int64)
         for batch in batches:
             texts = filled(batch.column("text"))
             for lo in range(0, len(batch), TOGETHER):
-                ids = [x + end for x in encoder.encode(texts.slice(lo, TOGETHER).to_pylist())]
+                ids = [x + end for x in coder.encode(texts.slice(lo, TOGETHER).to_pylist())]
                 if counts:
-                    seen += np.bincount(np.frombuffer(b"".join(ids), encoder.dtype), minlength=len(seen))
+                    seen += np.bincount(np.frombuffer(b"".join(ids), coder.dtype), minlength=len(seen))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([IDS] * len(ids)), batch.column("doc_id").slice(lo, TOGETHER).cast(pa.int64()), pa.array([len(x) // encoder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                    [pa.array([IDS] * len(ids)), batch.column("doc_id").slice(lo, TOGETHER).cast(pa.int64()), pa.array([len(x) // coder.dtype.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["kind", "doc_id", "n_tokens", "ids"],
                 )
         if counts:
@@ -94,7 +154,7 @@ def tokenised(path: str, end_id: int | None, special_as_text: bool = False, coun
 
 
 def dtype_of(path: str) -> np.dtype:
-    return Encoder(path).dtype
+    return encoder(path).dtype
 
 
 def in_order(ids: DataFrame, parts: int) -> DataFrame:
