@@ -25,8 +25,8 @@ BLOCK_IDS = 1 << 16
 FLAT = "kind string, part int, k long, doc_id long, ids binary"
 
 
-def _flat(dtype: np.dtype, block_ids: int):
-    """Sorted documents to blocks of block_ids ids; and, apart from them, which doc_id is the k-th."""
+def _flat(dtype: np.dtype, block_ids: int, encode):
+    """Documents as they come to blocks of block_ids ids; and, apart from them, which doc_id is the k-th of the file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, block, ordinal, held, width = TaskContext.get().partitionId(), 0, 0, b"", block_ids * dtype.itemsize
@@ -35,7 +35,7 @@ def _flat(dtype: np.dtype, block_ids: int):
             n = len(ids)
             return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([part] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), doc_ids, ids], ["kind", "part", "k", "doc_id", "ids"])
 
-        for batch in batches:
+        for batch in encode(batches):
             yield rows("document", ordinal, batch.column("doc_id"), pa.nulls(len(batch), pa.binary()))
             ordinal += len(batch)
             for lo in range(0, len(batch), 256):
@@ -91,17 +91,16 @@ def token_counts(documents: DataFrame, tokenizer_path: str, end_id: int, block_i
     """doc_id, n_tokens of every whole text (null: empty), counted in the flat files it writes.
 
     Special tokens' strings in texts are encoded as ordinary text, so end_id
-    can only be a separator. Files ascend by doc_id; repeated rows each get a
-    count. Only doc_id and text are read; an empty table gives no rows.
+    can only be a separator. Each task of the scan writes one file, in the
+    order of its rows, so nothing is shuffled but counts; repeated rows each
+    get a count. Only doc_id and text are read; an empty table gives no rows.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "counts")
     dtype = token_ids.dtype_of(tokenizer_path)
-    ids = scratch.write(documents.select("doc_id", "text").mapInArrow(token_ids.tokenised(tokenizer_path, end_id, special_as_text=True), token_ids.SCHEMA), "ids")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    flat = token_ids.in_order(ids, parts).mapInArrow(_flat(dtype, block_ids), FLAT)
+    encode = token_ids.tokenised(tokenizer_path, end_id, special_as_text=True)
+    flat = documents.select("doc_id", "text").mapInArrow(_flat(dtype, block_ids, encode), FLAT)
     flat.write.partitionBy("kind").option("compression", "zstd").parquet(scratch.path("flat"))
-    scratch.drop("ids")
     flat = spark.read.schema(FLAT).parquet(scratch.path("flat"))
     counted = counts_of_blocks(flat.where("kind = 'block'"), dtype, end_id, scratch)
     named = flat.where("kind = 'document'").select("part", "k", "doc_id")
