@@ -1,11 +1,12 @@
 """Toxicity from a learned lexicon, misspellings included.
 
-The lexicon holds words, and stems (word beginnings) of inflected words,
-that labelled toxic documents use far more often than others. Its trie is
-walked together with the Levenshtein automaton of a word, whose states are
-rows of the edit table cut off above the allowed number of edits; that finds
-the terms within 0, 1 or 2 edits of it (by the term's length; stems only
-unaltered). By the pigeonhole principle a word within k edits of a term
+The lexicon holds words, and stems of inflected words, that labelled toxic
+documents use far more often than others. A term is counted once for every
+word that it follows, so that copies of one document are no evidence; a stem
+needs several forms. The words' trie is walked together with the Levenshtein
+automaton of a word, whose states are rows of the edit table cut off above
+the allowed number of edits; that finds the terms within 0, 1 or 2 edits of
+it (by the term's length; stems only unaltered). By the pigeonhole principle a word within k edits of a term
 keeps one of k+1 pieces of it, the first at its start, the last at its end;
 words of a fitting length that keep none are not walked.
 
@@ -34,9 +35,9 @@ from .words import filled, scan, slices
 PER_LABEL = 3000
 CONTEXT_WORDS = 8
 LEAST_ODDS = 2.5
+STEM_LENGTHS, LEAST_FORMS = (4, 5, 6, 7, 8), 6
 LEAST_G = 25.0  # log-likelihood ratio of a term's counts; chance terms stay below
 CACHE_WORDS = 500_000
-STEMS = (4, 5, 6, 7, 8)
 OPENING, CLOSING = "\"“„«‹‘「", "\"”“»›’」"
 _RUN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 FEATURES = ("strongest", "weight", "density", "fuzzy", "quoted")
@@ -45,8 +46,8 @@ FEATURES = ("strongest", "weight", "density", "fuzzy", "quoted")
 @dataclass(frozen=True)
 class Term:
     text: str
-    stem: bool
     weight: float
+    stem: bool = False
 
 
 def edits(term: Term) -> int:
@@ -175,25 +176,29 @@ class Scorer:
         return opened in OPENING and bool(opened) and closed in CLOSING and bool(closed)
 
 
-def _terms_of(text: str) -> set[str]:
-    words = set(_RUN.findall(text.lower()))
-    return {f"w{w}" for w in words if len(w) >= 3} | {f"s{w[:n]}" for w in words for n in STEMS if len(w) > n}
+def _contexts(among: frozenset[str] | None):
+    """Distinct (term, form, word before it) of texts; terms are w + a word, or s + the beginning of one."""
 
-
-def _document_frequencies(among: frozenset[str] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
         for batch in batches:
+            seen: set[tuple[str, str, str]] = set()
             for text in filled(batch.column("text")).to_pylist():
-                seen.update(_terms_of(text) if among is None else _terms_of(text) & among)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+                words = _RUN.findall(text.lower())
+                for w, before in set(zip(words, ["", *words], strict=False)):
+                    terms = [f"w{w}"] if len(w) >= 3 else []
+                    terms += [f"s{w[:n]}" for n in STEM_LENGTHS if len(w) > n]
+                    seen.update((t, w, before) for t in terms if among is None or t in among)
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in seen], pa.string()) for i in range(3)], ["term", "form", "before"])
 
     return run
 
 
 def _frequencies(rows: DataFrame, among: frozenset[str] | None, least: int) -> dict[str, int]:
-    counts = rows.select("text").mapInArrow(_document_frequencies(among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in counts.where(F.col("n") >= least).collect()}  # of a bounded sample
+    """Contexts of each term with at least least of them; stems with enough forms."""
+    found = rows.select("text").mapInArrow(_contexts(among), "term string, form string, before string").distinct()
+    counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("form", 0.02).alias("forms"))
+    enough = (F.col("n") >= least) & (F.substring("term", 1, 1).eqNullSafe("w") | (F.col("forms") >= (LEAST_FORMS if among is None else 0)))
+    return {r["term"]: r["n"] for r in counts.where(enough).collect()}  # of a bounded sample
 
 
 def _evidence(t: int, c: int, bad: int, good: int) -> float:
@@ -212,22 +217,21 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:
         return []
-    toxic = _frequencies(sample.where("toxic = 1"), None, max(3, bad // 500))
+    toxic = _frequencies(sample.where("toxic = 1"), None, max(4, bad // 500))
     clean = _frequencies(sample.where("toxic = 0"), frozenset(toxic), 1)
-    support: dict[str, tuple[int, float]] = {}
+    strong: dict[str, float] = {}
     for term, t in toxic.items():
-        c = clean.get(term, 0)
+        t, c = min(t, bad), min(clean.get(term, 0), good)
         odds = math.log((t + 0.5) / (bad + 1)) - math.log((c + 0.5) / (good + 1))
         if odds >= LEAST_ODDS and _evidence(t, c, bad, good) >= LEAST_G:
-            support[term] = (t, odds)
-    words = {t[1:]: v for t, v in support.items() if t[0] == "w"}
-    stems: dict[str, tuple[int, float]] = {}
-    for s, v in sorted(((t[1:], v) for t, v in support.items() if t[0] == "s"), key=lambda x: (len(x[0]), x[0])):
-        if not any(s.startswith(p) for p in stems) and not any(w.startswith(s) and n >= 0.8 * v[0] for w, (n, _) in words.items()):
-            stems[s] = v
-    terms = [Term(s, True, o) for s, (_, o) in stems.items()]
-    terms += [Term(w, False, o) for w, (_, o) in words.items() if not any(w.startswith(s) for s in stems)]
-    return sorted(terms, key=lambda t: (t.text, t.stem))
+            strong[term] = odds
+    stems: dict[str, float] = {}
+    for term in sorted((t for t in strong if t[0] == "s"), key=len):
+        if not any(term[1:].startswith(s) for s in stems):
+            stems[term[1:]] = strong[term]
+    terms = [Term(s, odds, True) for s, odds in stems.items()]
+    terms += [Term(t[1:], odds) for t, odds in strong.items() if t[0] == "w" and not any(t[1:].startswith(s) for s in stems)]
+    return sorted(terms, key=lambda t: t.text)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 30) -> np.ndarray:
