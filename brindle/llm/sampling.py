@@ -10,7 +10,8 @@ FOLDS = 5
 
 def fold(doc_id: Column | str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5; rows of fold 0 are held out of all learning. A null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % FOLDS
+    key = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
 def bounded(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:

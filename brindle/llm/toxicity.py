@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +38,8 @@ CONTEXT_WORDS = 8
 LEAST_ODDS = 2.5
 STEM_LENGTHS, LEAST_FORMS = (4, 5, 6, 7, 8), 6
 LEAST_G = 25.0  # log-likelihood ratio of a term's counts; chance terms stay below
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
+TOGETHER = 64  # texts whose contexts are gathered at once
 OPENING, CLOSING = "\"“„«‹‘「", "\"”“»›’」"
 _RUN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 FEATURES = ("strongest", "weight", "density", "fuzzy", "quoted")
@@ -180,9 +182,9 @@ def _contexts(among: frozenset[str] | None):
     """Distinct (term, form, word before it) of texts; terms are w + a word, or s + the beginning of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for texts in (filled(b.column("text")).slice(k, TOGETHER) for b in batches for k in range(0, len(b), TOGETHER)):
             seen: set[tuple[str, str, str]] = set()
-            for text in filled(batch.column("text")).to_pylist():
+            for text in texts.to_pylist():
                 words = _RUN.findall(text.lower())
                 for w, before in set(zip(words, ["", *words], strict=False)):
                     terms = [f"w{w}"] if len(w) >= 3 else []
@@ -279,7 +281,7 @@ def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -
     """Learns lexicon and weights from about per_label documents of each label outside fold 0. Without labels, all scores are 0."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold() != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded(known, "toxic", per_label)
-    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where(F.col("text").isNotNull()).persist()
+    sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where(F.col("text").isNotNull()).persist(StorageLevel.DISK_ONLY)
     try:
         terms = learn_lexicon(sample)
         rows = sample.mapInArrow(_features(terms), "toxic int, x array<double>").collect()  # bounded by per_label
