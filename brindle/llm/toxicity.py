@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .sampling import bounded, fold
 from .words import filled, scan, slices
 
-PER_LABEL = 3000
+PER_LABEL = 2000
 CONTEXT_WORDS = 8
 LEAST_ODDS = 2.5
 STEM_LENGTHS, LEAST_FORMS = (4, 5, 6, 7, 8), 6
