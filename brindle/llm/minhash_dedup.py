@@ -15,7 +15,10 @@ there are fewer; none without words). Two texts are linked if
 3. Pairs whose signatures agree on too few of 128 values are put away (4.3
    standard deviations below a similarity of 0.75).
 4. Each node's best pair is verified first, on the full sets. The others are
-   verified only where they would join two components, until none is left.
+   verified only where they would join two components.
+5. Crowded regions hide rare links among many similar sets. Nodes that have
+   candidates but no link are looked for again in a forest of all nodes with
+   candidates, DEEP_REACH rows to each side, and those pairs are verified too.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows
 stay rows; rows with one doc_id and different texts are different nodes.
@@ -35,6 +38,7 @@ from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
 HASHES, TREES, DEPTH, REACH, LEAST_PREFIX = 128, 16, 12, 3, 2
+DEEP_REACH = 64
 _XOR = (random_u64(HASHES, 101) >> np.uint64(32)).astype(np.uint32)
 _MUL = (random_u64(HASHES, 202) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ORDERS = np.array([[(8 * t + 11 * i) % HASHES for i in range(DEPTH)] for t in range(TREES)])
@@ -139,6 +143,40 @@ def _edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.binary())], ["key", "node"])
 
 
+def _planted_deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """As _planted, each row with its signature and whether its node is searched for."""
+    for batch in batches:
+        planted = list(_planted(iter([batch])))
+        for p in planted:
+            yield pa.RecordBatch.from_arrays([p.column("key"), p.column("node"), batch.column("sig"), batch.column("alone")], ["key", "node", "sig", "alone"])
+
+
+def _deep(least: int):
+    """Pairs of a searched node and a row within DEEP_REACH of it in a sorted partition, alike in at least least values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None
+        for batch in batches:
+            both = batch if held is None else pa.Table.from_batches([held.slice(max(0, len(held) - DEEP_REACH)), batch]).combine_chunks().to_batches()[0] if len(held) + len(batch) else batch
+            held = both
+            if not len(both):
+                continue
+            nodes, alone = both.column("node").to_pylist(), both.column("alone").to_numpy(zero_copy_only=False)
+            keys = np.frombuffer(b"".join(both.column("key").to_pylist()), np.uint8).reshape(len(both), -1)[:, : 1 + 2 * LEAST_PREFIX]
+            sig = np.frombuffer(b"".join(both.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+            found: dict[tuple[bytes, bytes], int] = {}
+            for step in range(1, min(DEEP_REACH, len(both) - 1) + 1):
+                at = np.flatnonzero(alone[step:] | alone[:-step])
+                at = at[(keys[at] == keys[at + step]).all(axis=1)]
+                alike = (sig[at] == sig[at + step]).sum(axis=1)
+                for i, n in zip(at[alike >= least].tolist(), alike[alike >= least].tolist(), strict=True):
+                    a, b = nodes[i], nodes[i + step]
+                    found[(a, b) if a < b else (b, a)] = n
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
+
+    return run
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         node, texts = batch.column("node"), filled(batch.column("text"))
@@ -216,12 +254,17 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         .where("coalesce(a_label, a) <> coalesce(b_label, b)")
     )
     links = links.union(verify(rest, "links-rest"))
+    linked_nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("has", F.lit(True))
+    crowd = nodes.select("node", "sig").join(wanted, "node").join(linked_nodes, "node", "left").select("node", "sig", F.col("has").isNull().alias("alone"))
+    deep = crowd.mapInArrow(_planted_deep, "key binary, node binary, sig binary, alone boolean").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
+    more = deep.mapInArrow(_deep(least_matches(percent)), "a binary, b binary").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    links = links.union(verify(more, "links-deep"))
     labels = connected(links, scratch, "all")
     found = nodes.select("node", "doc_id").join(labels, "node")
     smallest = found.groupBy("label").agg(F.min("doc_id").alias("component"))
     component = found.join(smallest, "label").select("node", "component")
     named = scratch.write(nodes.select("node", F.col("doc_id").alias("own")).join(component, "node", "left").select("node", F.coalesce("component", "own").alias("component_id")), "named")
-    scratch.drop("pairs", "candidates", "members", "links-best", "links-rest")
+    scratch.drop("pairs", "candidates", "members", "links-best", "links-rest", "links-deep")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
