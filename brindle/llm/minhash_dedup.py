@@ -18,7 +18,8 @@ there are fewer; none without words). Two texts are linked if
    verified only where they would join two components.
 5. Crowded regions hide rare links among many similar sets. Nodes that have
    candidates but no link are looked for again in a forest of all nodes with
-   candidates, DEEP_REACH rows to each side, and those pairs are verified too.
+   candidates, DEEP_REACH rows to each side; in each tree the DEEP_BEST rows
+   there whose whole signatures are most alike are verified too.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows
 stay rows; rows with one doc_id and different texts are different nodes.
@@ -38,7 +39,7 @@ from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
 HASHES, TREES, DEPTH, REACH, LEAST_PREFIX = 128, 16, 12, 3, 2
-DEEP_REACH = 64
+DEEP_REACH, DEEP_BEST = 64, 4
 _XOR = (random_u64(HASHES, 101) >> np.uint64(32)).astype(np.uint32)
 _MUL = (random_u64(HASHES, 202) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ORDERS = np.array([[(8 * t + 11 * i) % HASHES for i in range(DEPTH)] for t in range(TREES)])
@@ -152,7 +153,7 @@ def _planted_deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _deep(least: int):
-    """Pairs of a searched node and a row within DEEP_REACH of it in a sorted partition, alike in at least least values."""
+    """Pairs of a searched node and the DEEP_BEST rows most alike within DEEP_REACH of it in a tree, all alike in at least least values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -164,14 +165,19 @@ def _deep(least: int):
             nodes, alone = both.column("node").to_pylist(), both.column("alone").to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(both.column("key").to_pylist()), np.uint8).reshape(len(both), -1)[:, : 1 + 2 * LEAST_PREFIX]
             sig = np.frombuffer(b"".join(both.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            found: dict[tuple[bytes, bytes], int] = {}
+            ends: list[np.ndarray] = [np.zeros((0, 3), np.int64)]
             for step in range(1, min(DEEP_REACH, len(both) - 1) + 1):
                 at = np.flatnonzero(alone[step:] | alone[:-step])
                 at = at[(keys[at] == keys[at + step]).all(axis=1)]
                 alike = (sig[at] == sig[at + step]).sum(axis=1)
-                for i, n in zip(at[alike >= least].tolist(), alike[alike >= least].tolist(), strict=True):
-                    a, b = nodes[i], nodes[i + step]
-                    found[(a, b) if a < b else (b, a)] = n
+                at, alike = at[alike >= least], alike[alike >= least]
+                for own, other in ((at, at + step), (at + step, at)):
+                    ends.append(np.column_stack((own, -alike, other))[alone[own]])
+            rows = np.concatenate(ends)
+            rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+            first = np.searchsorted(rows[:, 0], rows[:, 0])
+            best = rows[np.arange(len(rows)) - first < DEEP_BEST]
+            found = {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, _, j in best.tolist()}
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return run
