@@ -262,7 +262,7 @@ def _features(terms: list[Term]):
     return run
 
 
-@functools.lru_cache(8)
+@functools.lru_cache(1)
 def _scorer(terms: tuple[Term, ...]) -> Scorer:
     return Scorer(list(terms))
 
