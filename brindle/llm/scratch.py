@@ -26,12 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of an Arrow batch to BATCH_BYTES, so that workers hold little however long the texts are."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 class Scratch:
     """A folder of written tables. They cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        small_batches(spark)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"

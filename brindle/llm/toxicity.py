@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import bounded, fold
+from .scratch import small_batches
 from .words import filled, scan, slices
 
 PER_LABEL = 2000
@@ -279,6 +280,7 @@ class Model:
 
 def train(documents: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model:
     """Learns lexicon and weights from about per_label documents of each label outside fold 0. Without labels, all scores are 0."""
+    small_batches(documents.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((fold() != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = bounded(known, "toxic", per_label)
     sample = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where(F.col("text").isNotNull()).persist(StorageLevel.DISK_ONLY)
@@ -307,6 +309,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     Null and empty texts, and texts without a hit, get the model's base rate.
     Repeated rows get equal scores. Only doc_id and text are read.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (fold() == 0).alias("held_out"))
     rows = docs.mapInArrow(_scored(model, ["doc_id", "held_out"]), "doc_id long, held_out boolean, score double")
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -314,6 +317,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(documents: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of documents scored below threshold, all their columns as they are."""
+    small_batches(documents.sparkSession)
     schema = documents.schema
     names = [f"c{i}" for i in range(len(schema))]
     inner = documents.toDF(*names)
