@@ -18,7 +18,10 @@ there are fewer; none without words). Two texts are linked if
    verified only where they would join two components.
 5. Crowded regions hide rare links among many similar sets. Nodes that have
    candidates but no link are looked for again in a forest of all nodes with
-   candidates, DEEP_REACH rows to each side, and those pairs are verified too.
+   candidates, DEEP_REACH rows to each side. Similarities crowd around the
+   threshold there, so these nodes get FINE minima of 8 bits, which tell them
+   apart better; all pairs that the same 4.3 standard deviations do not put
+   away are verified.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows
 stay rows; rows with one doc_id and different texts are different nodes.
@@ -38,32 +41,34 @@ from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
 HASHES, TREES, DEPTH, REACH, LEAST_PREFIX = 128, 16, 12, 3, 2
-DEEP_REACH = 64
+DEEP_REACH, FINE = 64, 1024
 _XOR = (random_u64(HASHES, 101) >> np.uint64(32)).astype(np.uint32)
 _MUL = (random_u64(HASHES, 202) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+_FINE_XOR = (random_u64(FINE, 303) >> np.uint64(32)).astype(np.uint32)
+_FINE_MUL = (random_u64(FINE, 404) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ORDERS = np.array([[(8 * t + 11 * i) % HASHES for i in range(DEPTH)] for t in range(TREES)])
 
 
-def least_matches(percent: int) -> int:
+def least_matches(percent: int, hashes: int = HASHES) -> int:
     p = percent / 100
-    return int(HASHES * p - 4.3 * (HASHES * p * (1 - p)) ** 0.5)
+    return int(hashes * p - 4.3 * (hashes * p * (1 - p)) ** 0.5)
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(texts, HASHES) uint16: minima under HASHES functions; texts without shingles are left at 0."""
+def signatures(hashes: np.ndarray, first: np.ndarray, xor: np.ndarray = _XOR, mul: np.ndarray = _MUL, kind: type = np.uint16) -> np.ndarray:
+    """A row for each text: the low bits of its minima under len(xor) functions; texts without shingles are left at 0."""
     n = len(first) - 1
-    out = np.zeros((n, HASHES), np.uint16)
+    out = np.zeros((n, len(xor)), kind)
     full = np.flatnonzero(np.diff(first))
     if len(full):
         h = (hashes >> np.uint64(32)).astype(np.uint32)
         v = np.empty_like(h)
         at = first[full]
-        for j in range(HASHES):
-            np.bitwise_xor(h, _XOR[j], out=v)
-            np.multiply(v, _MUL[j], out=v)
+        for j in range(len(xor)):
+            np.bitwise_xor(h, xor[j], out=v)
+            np.multiply(v, mul[j], out=v)
             v ^= v >> np.uint32(15)
             np.multiply(v, np.uint32(0x2C1B3C6D), out=v)
-            out[full, j] = np.minimum.reduceat(v, at).astype(np.uint16)
+            out[full, j] = np.minimum.reduceat(v, at).astype(kind)
     return out
 
 
@@ -144,15 +149,19 @@ def _edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _planted_deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _planted, each row with its signature and whether its node is searched for."""
+    """As _planted, each row with FINE minima of its node's set and whether the node is searched for."""
     for batch in batches:
-        planted = list(_planted(iter([batch])))
-        for p in planted:
-            yield pa.RecordBatch.from_arrays([p.column("key"), p.column("node"), batch.column("sig"), batch.column("alone")], ["key", "node", "sig", "alone"])
+        sets = [np.frombuffer(m, np.uint64) for m in batch.column("members").to_pylist()]
+        if not sets:
+            continue
+        first = np.cumsum([0, *map(len, sets)])
+        fine = pa.array([f.tobytes() for f in signatures(np.concatenate(sets), first, _FINE_XOR, _FINE_MUL, np.uint8)], pa.binary())
+        for p in _planted(iter([batch])):
+            yield pa.RecordBatch.from_arrays([p.column("key"), p.column("node"), fine, batch.column("alone")], ["key", "node", "fine", "alone"])
 
 
 def _deep(least: int):
-    """Pairs of a searched node and a row within DEEP_REACH of it in a sorted partition, alike in at least least values."""
+    """Pairs of a searched node and a row within DEEP_REACH of it in a sorted partition, alike in at least least of the FINE values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -163,15 +172,15 @@ def _deep(least: int):
                 continue
             nodes, alone = both.column("node").to_pylist(), both.column("alone").to_numpy(zero_copy_only=False)
             keys = np.frombuffer(b"".join(both.column("key").to_pylist()), np.uint8).reshape(len(both), -1)[:, : 1 + 2 * LEAST_PREFIX]
-            sig = np.frombuffer(b"".join(both.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-            found: dict[tuple[bytes, bytes], int] = {}
+            fine = np.frombuffer(b"".join(both.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+            found: set[tuple[bytes, bytes]] = set()
             for step in range(1, min(DEEP_REACH, len(both) - 1) + 1):
                 at = np.flatnonzero(alone[step:] | alone[:-step])
                 at = at[(keys[at] == keys[at + step]).all(axis=1)]
-                alike = (sig[at] == sig[at + step]).sum(axis=1)
-                for i, n in zip(at[alike >= least].tolist(), alike[alike >= least].tolist(), strict=True):
+                alike = (fine[at] == fine[at + step]).sum(axis=1)
+                for i in at[alike >= least].tolist():
                     a, b = nodes[i], nodes[i + step]
-                    found[(a, b) if a < b else (b, a)] = n
+                    found.add((a, b) if a < b else (b, a))
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
     return run
@@ -255,9 +264,9 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     )
     links = links.union(verify(rest, "links-rest"))
     linked_nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("has", F.lit(True))
-    crowd = nodes.select("node", "sig").join(wanted, "node").join(linked_nodes, "node", "left").select("node", "sig", F.col("has").isNull().alias("alone"))
-    deep = crowd.mapInArrow(_planted_deep, "key binary, node binary, sig binary, alone boolean").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
-    more = deep.mapInArrow(_deep(least_matches(percent)), "a binary, b binary").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
+    crowd = nodes.select("node", "sig").join(members, "node").join(linked_nodes, "node", "left").select("node", "sig", "members", F.col("has").isNull().alias("alone"))
+    deep = crowd.mapInArrow(_planted_deep, "key binary, node binary, fine binary, alone boolean").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
+    more = deep.mapInArrow(_deep(least_matches(percent, FINE)), "a binary, b binary").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
     links = links.union(verify(more, "links-deep"))
     labels = connected(links, scratch, "all")
     found = nodes.select("node", "doc_id").join(labels, "node")
