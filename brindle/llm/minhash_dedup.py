@@ -16,12 +16,13 @@ there are fewer; none without words). Two texts are linked if
    standard deviations below a similarity of 0.75).
 4. Each node's best pair is verified first, on the full sets. The others are
    verified only where they would join two components.
-5. Crowded regions hide rare links among many similar sets. Nodes that have
-   candidates but no link are looked for again in a forest of all nodes with
-   candidates, DEEP_REACH rows to each side. Similarities crowd around the
-   threshold there, so these nodes get FINE minima of 8 bits, which tell them
-   apart better; all pairs that the same 4.3 standard deviations do not put
-   away are verified.
+5. A window that is full of rows with the least prefix may have cut others off.
+   Nodes with such a window in any tree, linked or not, are the crowd, and
+   the crowd is finished exactly: sets of a similarity of 0.75 share one of
+   the rarest quarter of their shingles (prefix filter), so nodes that share
+   none of these, in any number of steps, are in different pools. In a pool
+   all sets of different components are compared in full, in cells of bounded
+   size: those outside its largest component against all.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows
 stay rows; rows with one doc_id and different texts are different nodes.
@@ -33,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,11 +43,9 @@ from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
 HASHES, TREES, DEPTH, REACH, LEAST_PREFIX = 128, 16, 12, 3, 2
-DEEP_REACH, FINE = 64, 1024
+CELL_SHINGLES, CELL_SETS, DENSE = 1 << 18, 2048, 64
 _XOR = (random_u64(HASHES, 101) >> np.uint64(32)).astype(np.uint32)
 _MUL = (random_u64(HASHES, 202) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-_FINE_XOR = (random_u64(FINE, 303) >> np.uint64(32)).astype(np.uint32)
-_FINE_MUL = (random_u64(FINE, 404) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ORDERS = np.array([[(8 * t + 11 * i) % HASHES for i in range(DEPTH)] for t in range(TREES)])
 
 
@@ -115,6 +115,7 @@ def _planted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pairs(keys: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
+    """Pairs of rows at most REACH apart; a row that shares the prefix with one further away is paired with itself."""
     width = 1 + 2 * DEPTH
     rows = np.frombuffer(b"".join(keys), np.uint8).reshape(-1, width)
     found: set[tuple[bytes, bytes]] = set()
@@ -124,66 +125,128 @@ def _pairs(keys: list[bytes], nodes: list[bytes]) -> pa.RecordBatch:
             a, b = nodes[i], nodes[i + step]
             if a != b:
                 found.add((a, b) if a < b else (b, a))
+    cut = (rows[REACH + 1 :] == rows[: -REACH - 1])[:, : 1 + 2 * LEAST_PREFIX].all(axis=1)
+    for i in np.flatnonzero(cut):
+        found.update(((nodes[i], nodes[i]), (nodes[i + REACH + 1], nodes[i + REACH + 1])))
     return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of near rows in sorted partitions; REACH rows are carried from batch to batch."""
+    """Pairs of near rows in sorted partitions; REACH + 1 rows are carried from batch to batch."""
     keys: list[bytes] = []
     nodes: list[bytes] = []
     for batch in batches:
-        keys, nodes = keys[-REACH:] + batch.column("key").to_pylist(), nodes[-REACH:] + batch.column("node").to_pylist()
+        keys, nodes = keys[-REACH - 1 :] + batch.column("key").to_pylist(), nodes[-REACH - 1 :] + batch.column("node").to_pylist()
         yield _pairs(keys, nodes)
 
 
 def _edges_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last REACH rows of each partition, to be stitched to the next."""
+    """The first and the last REACH + 1 rows of each partition, to be stitched to the next."""
     head: list[tuple[bytes, bytes]] = []
     tail: list[tuple[bytes, bytes]] = []
     for batch in batches:
         rows = list(zip(batch.column("key").to_pylist(), batch.column("node").to_pylist(), strict=True))
-        head = (head + rows[:REACH])[:REACH]
-        tail = (tail + rows[-REACH:])[-REACH:]
+        head = (head + rows[: REACH + 1])[: REACH + 1]
+        tail = (tail + rows[-REACH - 1 :])[-REACH - 1 :]
     rows = head + tail
     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.binary()), pa.array([n for _, n in rows], pa.binary())], ["key", "node"])
 
 
-def _planted_deep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As _planted, each row with FINE minima of its node's set and whether the node is searched for."""
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(m, np.uint64) for m in batch.column("members").to_pylist()]
-        if not sets:
-            continue
-        first = np.cumsum([0, *map(len, sets)])
-        fine = pa.array([f.tobytes() for f in signatures(np.concatenate(sets), first, _FINE_XOR, _FINE_MUL, np.uint8)], pa.binary())
-        for p in _planted(iter([batch])):
-            yield pa.RecordBatch.from_arrays([p.column("key"), p.column("node"), fine, batch.column("alone")], ["key", "node", "fine", "alone"])
+        for k in range(0, len(batch), 64):
+            some = batch.slice(k, 64)
+            sets = [np.frombuffer(m, np.int64) for m in some.column("members").to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([some.column("node").take(of), pa.array(np.concatenate(sets))], ["node", "h"])
+
+
+def intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """(left, right) sizes of the intersections of all sets: matrix products for shingles of many sets, single pairs for the rest."""
+    n, out = len(left), np.zeros((len(left), len(right)), np.float32)
+    of = np.repeat(np.arange(n + len(right)), [len(x) for x in (*left, *right)])
+    values, ids = np.unique(np.concatenate((*left, *right)), return_inverse=True)
+    order = np.argsort(ids, kind="stable")  # of is ascending: in each id's run the left sets come first
+    of, ids = of[order], ids[order]
+    first = np.searchsorted(ids, np.arange(len(values) + 1))
+    lefts = np.bincount(ids[of < n], minlength=len(values))
+    rights = np.diff(first) - lefts
+    dense = (lefts > 0) & (rights > 0) & (lefts + rights > DENSE)
+    some = np.flatnonzero(dense)
+    for k in range(0, len(some), 512):
+        x = np.zeros((n + len(right), 512), np.float32)
+        for j, v in enumerate(some[k : k + 512]):
+            x[of[first[v] : first[v + 1]], j] = 1
+        out += x[:n] @ x[n:].T
+    rare = np.flatnonzero((of < n) & ~dense[ids] & (rights[ids] > 0))
+    for k in range(0, len(rare), 1 << 16):
+        at = rare[k : k + (1 << 16)]
+        many, begin = rights[ids[at]], (first[:-1] + lefts)[ids[at]]
+        to = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
+        np.add.at(out, (np.repeat(of[at], many), of[to] - n), 1)
+    return out.astype(np.int64)
+
+
+def _compared(percent: int):
+    """Links of a cell's left sets to its right sets, as many as join its components."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        sides = [cell.filter(pc.equal(cell.column("left"), x)) for x in (True, False)]
+        found: list[tuple[bytes, bytes]] = []
+        if all(len(x) for x in sides):
+            left, right = ([np.frombuffer(m, np.uint64) for m in x.column("members").to_pylist()] for x in sides)
+            names = sorted(set(cell.column("label").to_pylist()))
+            number = {x: i for i, x in enumerate(names)}
+            a, b = (np.array([number[x] for x in side.column("label").to_pylist()]) for side in sides)
+            common = intersections(left, right)
+            total = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right]) - common
+            at, to = np.nonzero((100 * common >= percent * total) & (a[:, None] != b))
+            _, once = np.unique(np.minimum(a[at], b[to]) * len(names) + np.maximum(a[at], b[to]), return_index=True)
+            up = list(range(len(names)))
+
+            def top(i: int) -> int:
+                while up[i] != i:
+                    up[i] = i = up[up[i]]
+                return i
+
+            nodes = [x.column("node").to_pylist() for x in sides]
+            for i, j in zip(at[once].tolist(), to[once].tolist(), strict=True):
+                x, y = top(int(a[i])), top(int(b[j]))
+                if x != y:
+                    up[x] = y
+                    found.append((nodes[0][i], nodes[1][j]))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.binary()), "b": pa.array([x for _, x in found], pa.binary())})
 
+    return run
 
-def _deep(least: int):
-    """Pairs of a searched node and a row within DEEP_REACH of it in a sorted partition, alike in at least least of the FINE values."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None
-        for batch in batches:
-            both = batch if held is None else pa.Table.from_batches([held.slice(max(0, len(held) - DEEP_REACH)), batch]).combine_chunks().to_batches()[0] if len(held) + len(batch) else batch
-            held = both
-            if not len(both):
-                continue
-            nodes, alone = both.column("node").to_pylist(), both.column("alone").to_numpy(zero_copy_only=False)
-            keys = np.frombuffer(b"".join(both.column("key").to_pylist()), np.uint8).reshape(len(both), -1)[:, : 1 + 2 * LEAST_PREFIX]
-            fine = np.frombuffer(b"".join(both.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
-            found: set[tuple[bytes, bytes]] = set()
-            for step in range(1, min(DEEP_REACH, len(both) - 1) + 1):
-                at = np.flatnonzero(alone[step:] | alone[:-step])
-                at = at[(keys[at] == keys[at + step]).all(axis=1)]
-                alike = (fine[at] == fine[at + step]).sum(axis=1)
-                for i in at[alike >= least].tolist():
-                    a, b = nodes[i], nodes[i + step]
-                    found.add((a, b) if a < b else (b, a))
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], ["a", "b"])
 
-    return run
+def _finished(crowd: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """Links (a, b) that join components of the crowd (node, label, members), by exact comparison."""
+    rows = scratch.write(crowd.select("node", "members").mapInArrow(_exploded, "node binary, h long"), "crowd-rows", "lz4")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ranked = rows.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs"))
+    # Shingles that no other set has come first in a prefix of size - ceil(percent of size) + 1; they are counted, not kept.
+    need = F.ceil(F.length("members") / 8 * percent / 100).cast("int")
+    prefixes = crowd.select("node", need.alias("need")).join(ranked, "node").where(F.size("hs") >= F.col("need"))
+    keys = scratch.write(prefixes.select("node", F.explode(F.slice("hs", F.lit(1), F.size("hs") - F.col("need") + 1)).alias("x")).select("node", "x.h"), "crowd-keys", "lz4")
+    hubs = keys.groupBy("h").agg(F.min("node").alias("hub"))
+    pools = connected(keys.join(hubs, "h").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), scratch, "pools").select("node", F.col("label").alias("pool"))
+
+    pooled = pools.join(crowd.select("node", "label", (F.length("members") / 8).cast("long").alias("size")), "node")
+    counted = pooled.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("mass"))
+    cells = lambda mass, sets: F.ceil(F.greatest(mass / CELL_SHINGLES, sets / CELL_SETS)).cast("int")
+    biggest = counted.groupBy("pool").agg(F.max(F.struct("mass", "sets", "label")).alias("top"), F.sum("mass").alias("mass"), F.sum("sets").alias("sets"))
+    grid = biggest.select("pool", F.col("top.label").alias("top"), cells(F.col("mass"), F.col("sets")).alias("columns"), cells(F.col("mass") - F.col("top.mass"), F.col("sets") - F.col("top.sets")).alias("lines")).where("lines > 0")
+    placed = pooled.drop("size").join(grid, "pool").join(crowd.select("node", "members"), "node")
+    line, column = (F.pmod(F.xxhash64("node", F.lit(x)), F.col(x)).cast("int") for x in ("lines", "columns"))
+    every = lambda x: F.explode(F.sequence(F.lit(0), F.col(x) - 1))
+    fields = ["pool", "line", "column", "left", "node", "label", "members"]
+    left = placed.where("label <> top").withColumn("line", line).withColumn("column", every("columns")).withColumn("left", F.lit(True))
+    right = placed.withColumn("column", column).withColumn("line", every("lines")).withColumn("left", F.lit(False))
+    both = left.select(*fields).union(right.select(*fields))
+    links = scratch.write(both.groupBy("pool", "line", "column").applyInArrow(_compared(percent), "a binary, b binary"), "links-crowd")
+    scratch.drop("crowd-rows", "crowd-keys")
+    return links
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,13 +301,14 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     forest = nodes.select("node", "sig").mapInArrow(_planted, "key binary, node binary").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
     pairs = scratch.write(_with_seams(forest), "pairs")
     both = (
-        pairs.distinct()
+        pairs.where("a <> b").distinct()
         .join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("x")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("y")), "b")
     )
     candidates = scratch.write(both.mapInArrow(_alike(least_matches(percent)), "a binary, b binary, alike int"), "candidates")
 
-    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
+    cut = scratch.write(pairs.where("a = b").select(F.col("a").alias("node")).distinct(), "cut")
+    wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(cut).distinct()
     where = nodes.select("node", "doc_id").join(wanted, "node")
     members = scratch.write(docs.join(where, docs.doc_id.eqNullSafe(where.doc_id)).select("node", "text").mapInArrow(_sets, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members")), "members", "lz4")
 
@@ -263,17 +327,15 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
         .where("coalesce(a_label, a) <> coalesce(b_label, b)")
     )
     links = links.union(verify(rest, "links-rest"))
-    linked_nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("has", F.lit(True))
-    crowd = nodes.select("node", "sig").join(members, "node").join(linked_nodes, "node", "left").select("node", "sig", "members", F.col("has").isNull().alias("alone"))
-    deep = crowd.mapInArrow(_planted_deep, "key binary, node binary, fine binary, alone boolean").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
-    more = deep.mapInArrow(_deep(least_matches(percent, FINE)), "a binary, b binary").distinct().join(candidates.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.union(verify(more, "links-deep"))
+    near = connected(links, scratch, "near")
+    crowd = scratch.write(cut.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")).join(members, "node"), "crowd", "lz4")
+    links = links.union(_finished(crowd, scratch, percent))
     labels = connected(links, scratch, "all")
     found = nodes.select("node", "doc_id").join(labels, "node")
     smallest = found.groupBy("label").agg(F.min("doc_id").alias("component"))
     component = found.join(smallest, "label").select("node", "component")
     named = scratch.write(nodes.select("node", F.col("doc_id").alias("own")).join(component, "node", "left").select("node", F.coalesce("component", "own").alias("component_id")), "named")
-    scratch.drop("pairs", "candidates", "members", "links-best", "links-rest", "links-deep")
+    scratch.drop("pairs", "candidates", "members", "cut", "crowd", "links-best", "links-rest", "links-crowd")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component_id = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.col("doc_id").eqNullSafe(component_id).alias("kept"))
@@ -300,7 +362,7 @@ def _parts(spark) -> int:
 
 
 def _with_seams(forest: DataFrame) -> DataFrame:
-    """Neighbours inside partitions, and over their borders: 2 * REACH rows of each partition meet in one sort."""
+    """Neighbours inside partitions, and over their borders: 2 * (REACH + 1) rows of each partition meet in one sort."""
     inside = forest.mapInArrow(_neighbours, "a binary, b binary")
     borders = forest.mapInArrow(_edges_of, "key binary, node binary").distinct().coalesce(1).sortWithinPartitions("key", "node")
     return inside.union(borders.mapInArrow(_neighbours, "a binary, b binary"))

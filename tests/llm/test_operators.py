@@ -68,6 +68,31 @@ def test_near_duplicates_brute_force(spark, sf):
     assert sorted(map(tuple, minhash_dedup.near_duplicates(more).collect())) == components([tuple(r) for r in more.collect()])
 
 
+def crowds(sizes, seed):
+    """Groups of copies of a 120-word text, each with 3 random words changed: similarities lie around the threshold."""
+    rng, out = np.random.default_rng(seed), []
+    for g, size in enumerate(sizes):
+        for _ in range(size):
+            words = [f"g{g}w{i}" for i in range(120)]
+            for at in rng.choice(120, 3, replace=False):
+                words[at] = f"x{rng.integers(1 << 40)}"
+            out.append((len(out), " ".join(words)))
+    return out
+
+
+def test_near_duplicates_crowds(spark):
+    docs = crowds((5, 40, 150, 600), 7)
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()))
+    assert got == components(docs)
+
+
+def test_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.zipf(1.3, 60)).astype(np.uint64) for _ in range(300)]
+    got = minhash_dedup.intersections(sets[:130], sets[130:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[130:]] for a in sets[:130]]
+
+
 def test_near_duplicates_odd(odd, empty):
     got = sorted(map(tuple, minhash_dedup.near_duplicates(odd).collect()), key=repr)
     by = {r[0]: r for r in got}
