@@ -2,7 +2,8 @@
 
 A page is parsed into a tree. Elements that hold menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or comments of readers go
-(by element, role, or a word of class or id). Each node's composite density
+(by element or role; by a word of class or id only if the element holds no
+article or main and less than half of the body's text). Each node's composite density
 is its characters per tag, lowered by the share of its characters and tags
 that belong to links. A node's density sum adds its children's densities.
 The least density on the path from the body to the densest node is the
@@ -28,7 +29,7 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 DROPPED = frozenset("head script style noscript iframe nav aside footer form button select textarea template svg canvas object embed dialog menu title xmp noembed noframes input".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar tablist".split())
-DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices sidebar nav navbar navigation menu menus footer masthead breadcrumb breadcrumbs comment comments disqus respond share sharing social newsletter subscribe subscription related popup modal toolbar pagination pager widget skip".split())
+DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice notices sidebar nav navbar navigation menu menus footer masthead breadcrumb breadcrumbs comment comments disqus respond newsletter subscribe subscription popup modal toolbar pagination pager".split())
 CLOSES_P = BLOCK - {"button", "body", "html", "caption", "option", "optgroup", "legend", "thead", "tbody", "tfoot", "tr", "td", "th"}
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "optgroup": ("option", "optgroup"), "thead": ("tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
@@ -36,14 +37,15 @@ SCOPES = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",)}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<!--.*?(?:-->|\Z)|<[!?/][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s/]|$)", re.I)
 _WORD = re.compile(r"[a-z]+")
+_WRAPPER = re.compile(r"\b(?:with|has|have|no|without)[\W_]*(?:left|right)?[\W_]*[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "dropped", "chars", "tags", "link_chars", "link_tags", "density", "sum")
+    __slots__ = ("tag", "kids", "parent", "dropped", "named", "chars", "tags", "link_chars", "link_tags", "density", "sum")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped, self.kids = tag, parent, dropped, []
+        self.tag, self.parent, self.dropped, self.named, self.kids = tag, parent, dropped, False, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
@@ -59,13 +61,35 @@ def _drop(tag: str, attributes: str, inside_article: bool) -> bool:
             return True
         if name == "role" and value.strip().lower() in DROPPED_ROLES:
             return True
-        if name in ("class", "id") and not DROPPED_WORDS.isdisjoint(_WORD.findall(_CAMEL.sub(" ", value).lower())):
-            return True
     return False
 
 
+def _named(tag: str, attributes: str) -> bool:
+    """Whether a word of class or id is one of boilerplate; with-sidebar and the like name what is around it."""
+    if not attributes or tag in ("article", "main", "body", "html"):
+        return False
+    values = (_WRAPPER.sub(" ", _CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id"))
+    return any(not DROPPED_WORDS.isdisjoint(_WORD.findall(v)) for v in values)
+
+
+def _drop_named(root: Node) -> None:
+    """Drops elements with a name of boilerplate that hold no article or main and less than half of the body's text."""
+    nodes = _order(root)
+    if not any(x.named for x in nodes):
+        return
+    chars: dict[Node, int] = {}
+    whole: set[Node] = set()
+    for x in reversed(nodes):
+        chars[x] = sum(len("".join(k.split())) if type(k) is str else chars.get(k, 0) for k in x.kids)
+        if x.tag in ("article", "main") or any(k in whole for k in x.kids if type(k) is Node):
+            whole.add(x)
+    body = next((chars[x] for x in nodes if x.tag == "body"), chars[root])
+    for x in nodes:
+        x.dropped = x.named and x not in whole and 2 * chars[x] < body
+
+
 def parse(page: str) -> Node:
-    """The tree of a page; dropped elements are in it, marked and without text."""
+    """The tree of a page; dropped elements are in it, marked."""
     root = top = Node("#root", None, False)
     articles, at, n = 0, 0, len(page)
     lower = None
@@ -101,6 +125,7 @@ def parse(page: str) -> Node:
             if found is not None:
                 top = found.parent
         node = Node(tag, top, top.dropped or _drop(tag, attributes, articles > 0))
+        node.named = not node.dropped and _named(tag, attributes)
         top.kids.append(node)
         if tag in RAW:
             lower = page.lower() if lower is None else lower
@@ -115,6 +140,7 @@ def parse(page: str) -> Node:
             articles += tag in ("article", "main")
     if at < n and not top.dropped:
         top.kids.append(page[at:])
+    _drop_named(root)
     return root
 
 

@@ -223,3 +223,11 @@ def test_html(spark):
     got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1].text == "A <title\nSome long text bold. More\nSecond one." and got[1].n_chars == len(got[1].text)
     assert got[2].text == got[3].text == "" and got[None].text == "no tags é" and got[5].text == "unclosed x"
+
+
+def test_html_wrappers():
+    long = "This is the text of the page, and there is a good deal of it. " * 8
+    for name in ("layout with-sidebar", "has-sidebar", "elementor-widget", "social-layout", "related-article", "page-banner"):
+        assert html_text.main_text(f"<body><div class='{name}'><div><p>{long}</p><p>{long}</p></div></div><p class='ad'>Buy</p></body>").count("good deal") == 16
+    page = f"<body><div class='menu page'><article><p>{long}</p></article><div class='sidebar'>Side</div></div><div id='comments'>Nice</div></body>"
+    assert html_text.main_text(page) == long.strip()
