@@ -2,8 +2,8 @@
 
 A naive Bayes classifier over hashed byte trigrams, fitted on a bounded
 sample of rows labelled with a domain, gives each document a posterior over
-the domains. Document d with n_d words has a rate r_d >= least; its
-copies count n_d * r_d * p_dk words towards domain k. The rates minimise the
+the domains. Document d with n_d tokens of the pipeline's tokenizer has a
+rate r_d >= least; its copies count n_d * r_d * p_dk tokens towards domain k. The rates minimise the
 squared distance between these expected totals and the targets by projected
 gradient steps, scaled by the domains' second moments. A step depends on the
 rows only through sums of one number per domain, so every step is one
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded
 from .scratch import Scratch
-from .words import _LOWER, _SPACE, filled, scan, slices
+from .token_ids import TOGETHER, encoder
+from .words import _LOWER, _SPACE, filled, slices
 
 PER_DOMAIN = 1500
 BUCKETS = 1 << 12
@@ -66,19 +67,21 @@ def fit(documents: DataFrame, domain: str, per_domain: int = PER_DOMAIN) -> tupl
     return domains, np.log(counts / counts.sum(axis=0))
 
 
-def _posteriors(logs: np.ndarray):
+def _posteriors(logs: np.ndarray, tokenizer: str):
     weights = logs.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = encoder(tokenizer)
         for batch in batches:
-            for lo, hi, data, offsets in slices(filled(batch.column("text"))):
+            texts = filled(batch.column("text"))
+            for lo, hi, data, offsets in slices(texts):
                 x = bucketed(data, offsets)
                 n = x.sum(axis=1, keepdims=True)
                 z = (x @ weights).astype(np.float64) / np.maximum(n, 1) * np.minimum(n, SHARPNESS)
                 p = np.exp(z - z.max(axis=1, keepdims=True)) if weights.shape[1] else z
                 p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-                words = np.diff(scan(data, offsets).first)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_key").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(words, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_key", "doc_id", "n_tokens", "posterior"])
+                tokens = [len(ids) // coder.dtype.itemsize for k in range(lo, hi, TOGETHER) for ids in coder.encode(texts.slice(k, min(TOGETHER, hi - k)).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_key").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_key", "doc_id", "n_tokens", "posterior"])
 
     return run
 
@@ -112,14 +115,18 @@ def _totals(k: int, steps: list[np.ndarray], least: float, moments: bool):
 class Mixture:
     """members: doc_key, doc_id, n_tokens, posterior; domains; targets and reached token totals; the steps of the rates."""
 
-    def __init__(self, documents: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, per_domain: int = PER_DOMAIN):
+    def __init__(self, documents: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, per_domain: int = PER_DOMAIN, tokenizer: str | None = None):
         spark = documents.sparkSession
         scratch = Scratch(spark, "mixing")
+        if tokenizer is None:
+            from .queries import tokenizer_path
+
+            tokenizer = tokenizer_path()
         self.least, self.steps = least, []
         self.domains, logs = fit(documents, domain, per_domain)
         k = len(self.domains)
         keyed = documents.select(_key(documents).alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.members = scratch.write(keyed.mapInArrow(_posteriors(logs), "doc_key long, doc_id long, n_tokens long, posterior array<double>"), "members")
+        self.members = scratch.write(keyed.mapInArrow(_posteriors(logs, tokenizer), "doc_key long, doc_id long, n_tokens long, posterior array<double>"), "members")
         if not k:
             self.targets = self.reached = np.zeros(0)
             return

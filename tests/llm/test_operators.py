@@ -217,6 +217,15 @@ def test_mixing(spark, sf, odd, empty):
     assert mixing.mixed(empty, domain="lang").count() == 0 and mixing.mixed(odd.withColumn("lang", F.lit(None).cast("string")), domain="lang").count() == len(ODD)
 
 
+def test_mixing_counts_tokens(odd):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    key = lambda x: sorted(x, key=repr)
+    got = key((r.doc_id, r.n_tokens) for r in mixing.Mixture(odd, "lang").rated().collect())
+    assert got == key((d, len(tokenizer.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in ODD)
+
+
 def test_html(spark):
     page = "<html><body><nav><a href=/>Home</a></nav><div class='ad'>Buy &amp; go</div><article><h1>A &lt;title</h1><p>Some  long\n text <b>bo</b>ld.<br>More<p>Second one.<form>f</form><div id=comments><p>Nice</div></article><footer>x</footer><script>var a='</p>'</script></body>"
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (None, "u", "no tags &eacute;"), (5, "u", "<p>unclosed <b>x" + "<div>" * 500)]
