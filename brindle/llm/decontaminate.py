@@ -14,8 +14,8 @@ the sum of minima over the sum of maxima.
    meets in a block.
 3. Pairs within the radius are verified exactly on their shingles.
 
-Sums of bits are packed, four 16-bit counters to a long, so an item may have
-up to 65,535 shingles. Words are runs without white space of the lower-cased
+Sums of bits are packed, two 32-bit counters to a long, more than the shingles
+of any text. Words are runs without white space of the lower-cased
 text.
 """
 
@@ -32,7 +32,7 @@ WIDTH = 5
 BLOCKS, BLOCK_BITS, FLIPS = 8, 8, 2
 RADIUS = BLOCKS * (FLIPS + 1) - 1
 BROADCAST_ROWS = 500_000  # of 16 to 40 bytes each
-_LANES = 0x0001000100010001
+_LANES = 0x0000000100000001
 
 
 def words_of(text: Column) -> Column:
@@ -56,11 +56,11 @@ def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def simhash(rows: DataFrame, *keys: str) -> DataFrame:
     """keys, n and fp: majority of each bit over a group's rows h (a row for each occurrence)."""
-    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(16)))
+    summed = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_LANES))).alias(f"s{j}") for j in range(32)))
     fp = F.lit(0).cast("long")
-    for j, lane in itertools.product(range(16), range(4)):
-        count = F.shiftrightunsigned(F.col(f"s{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-        bit = 1 << (j + 16 * lane)
+    for j, lane in itertools.product(range(32), range(2)):
+        count = F.shiftrightunsigned(F.col(f"s{j}"), 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF))
+        bit = 1 << (j + 32 * lane)
         fp = fp.bitwiseOR(F.when(2 * count > F.col("n"), F.lit(bit - (1 << 64) if bit >> 63 else bit).cast("long")).otherwise(F.lit(0).cast("long")))
     return summed.select(*keys, "n", fp.alias("fp"))
 

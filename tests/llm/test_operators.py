@@ -116,6 +116,12 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
 
 
+def test_simhash_of_many_shingles(spark):
+    h = 0x1234_5678_9ABC_DEF1
+    rows = spark.range(70_000).select(F.lit(1).alias("k"), F.lit(h).alias("h"))
+    assert [tuple(r) for r in decontaminate.simhash(rows, "k").collect()] == [(1, 70_000, h)]
+
+
 def test_language_accuracy(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
