@@ -19,10 +19,12 @@ there are fewer; none without words). Two texts are linked if
 5. A window that is full of rows with the least prefix may have cut others off.
    Nodes with such a window in any tree, linked or not, are the crowd, and
    the crowd is finished exactly: sets of a similarity of 0.75 share one of
-   the rarest quarter of their shingles (prefix filter), so nodes that share
-   none of these, in any number of steps, are in different pools. In a pool
-   all sets of different components are compared in full, in cells of bounded
-   size: those outside its largest component against all.
+   the rarest quarter of their shingles (prefix filter), so components that
+   share none of these, in any number of steps, are in different pools. Pools
+   are made of components, not of nodes: a component that is alone in its pool
+   needs no further work. In a pool all sets of different components are
+   compared in full, in cells of bounded size: those outside its largest
+   component against all.
 
 Null and empty texts have no set and are linked with nothing. Repeated rows
 stay rows; rows with one doc_id and different texts are different nodes.
@@ -94,11 +96,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     ids.slice(lo, hi - lo).cast(pa.int64()),
+                    batch.column("row").slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(identity(sets), pa.binary()),
                     pa.array([s.tobytes() for s in sig], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "node", "sig"],
+                ["doc_id", "row", "n_shingles", "node", "sig"],
             )
 
 
@@ -227,12 +230,12 @@ def _finished(crowd: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     ranked = rows.join(shared, "h").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("n", "h"))).alias("hs"))
     # Shingles that no other set has come first in a prefix of size - ceil(percent of size) + 1; they are counted, not kept.
     need = F.ceil(F.length("members") / 8 * percent / 100).cast("int")
-    prefixes = crowd.select("node", need.alias("need")).join(ranked, "node").where(F.size("hs") >= F.col("need"))
-    keys = scratch.write(prefixes.select("node", F.explode(F.slice("hs", F.lit(1), F.size("hs") - F.col("need") + 1)).alias("x")).select("node", "x.h"), "crowd-keys", "lz4")
-    hubs = keys.groupBy("h").agg(F.min("node").alias("hub"))
-    pools = connected(keys.join(hubs, "h").select(F.col("node").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), scratch, "pools").select("node", F.col("label").alias("pool"))
+    prefixes = crowd.select("node", "label", need.alias("need")).join(ranked, "node").where(F.size("hs") >= F.col("need"))
+    keys = scratch.write(prefixes.select("label", F.explode(F.slice("hs", F.lit(1), F.size("hs") - F.col("need") + 1)).alias("x")).select("label", "x.h").distinct(), "crowd-keys", "lz4")
+    hubs = keys.groupBy("h").agg(F.min("label").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    pools = connected(keys.join(hubs, "h").select(F.col("label").alias("a"), F.col("hub").alias("b")).where("a <> b").distinct(), scratch, "pools").select(F.col("node").alias("label"), F.col("label").alias("pool"))
 
-    pooled = pools.join(crowd.select("node", "label", (F.length("members") / 8).cast("long").alias("size")), "node")
+    pooled = pools.join(crowd.select("node", "label", (F.length("members") / 8).cast("long").alias("size")), "label")
     counted = pooled.groupBy("pool", "label").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("mass"))
     cells = lambda mass, sets: F.ceil(F.greatest(mass / CELL_SHINGLES, sets / CELL_SETS)).cast("int")
     biggest = counted.groupBy("pool").agg(F.max(F.struct("mass", "sets", "label")).alias("top"), F.sum("mass").alias("mass"), F.sum("sets").alias("sets"))
@@ -292,10 +295,10 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "minhash")
-    docs = documents.select("doc_id", "text")
-    signed = scratch.write(docs.mapInArrow(_signed, "doc_id long, n_shingles long, node binary, sig binary"), "signed", "lz4")
+    docs = documents.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    signed = scratch.write(docs.mapInArrow(_signed, "doc_id long, row long, n_shingles long, node binary, sig binary"), "signed", "lz4")
     nodes = scratch.write(
-        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")), "nodes", "lz4"
+        signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("sig").alias("sig")), "nodes", "lz4"
     )
 
     forest = nodes.select("node", "sig").mapInArrow(_planted, "key binary, node binary").repartitionByRange(_parts(spark), "key", "node").sortWithinPartitions("key", "node")
@@ -309,8 +312,8 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     cut = scratch.write(pairs.where("a = b").select(F.col("a").alias("node")).distinct(), "cut")
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).union(cut).distinct()
-    where = nodes.select("node", "doc_id").join(wanted, "node")
-    members = scratch.write(docs.join(where, docs.doc_id.eqNullSafe(where.doc_id)).select("node", "text").mapInArrow(_sets, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members")), "members", "lz4")
+    where = nodes.select("node", "row").join(wanted, "node")
+    members = scratch.write(docs.join(where, "row").select("node", "text").mapInArrow(_sets, "node binary, members binary").groupBy("node").agg(F.first("members").alias("members")), "members", "lz4")
 
     def verify(some: DataFrame, name: str) -> DataFrame:
         rows = some.select("a", "b").join(members.select(F.col("node").alias("a"), F.col("members").alias("x")), "a").join(members.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
