@@ -80,17 +80,48 @@ PUNCTUATION = np.array([not (48 <= b < 58 or 65 <= b < 91 or 97 <= b < 123 or b
 
 
 def scan(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> Words:
-    """Words of concatenated texts; a word never crosses the bounds of a text. space: the bytes between words."""
+    """Words of concatenated texts; a word never crosses the bounds of a text. space: the bytes between words.
+
+    Long data is scanned in parts that end between words, so that what is
+    held for each byte does not grow with the text.
+    """
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = _between(data, offsets, lo + SLICE_BYTES, space)
+        bounds = offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi)] - lo
+        parts.append((lo, *_scanned(data[lo:hi], bounds, space)))
+        lo = hi
+    if len(parts) == 1:
+        _, starts, ends, hashes = parts[0]
+    else:
+        none = np.zeros(0, np.int64)
+        starts, ends = (np.concatenate([none, *(p[0] + p[k] for p in parts)]) for k in (1, 2))
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(p[3] for p in parts)])
+    return Words(starts, ends, hashes, np.searchsorted(starts, offsets))
+
+
+def _between(data: np.ndarray, offsets: np.ndarray, at: int, space: np.ndarray) -> int:
+    """The first place from at on where no word goes on: a byte between words, a text's bound, or the end."""
+    if at >= len(data):
+        return len(data)
+    bound = int(offsets[np.searchsorted(offsets, at)])
+    for lo in range(at, bound, 1 << 16):
+        gaps = np.flatnonzero(space[data[lo : min(lo + (1 << 16), bound)]])
+        if len(gaps):
+            return lo + int(gaps[0])
+    return bound
+
+
+def _scanned(data: np.ndarray, bounds: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, hashes) of the words of data; a word also ends at bounds."""
     n = len(data)
     inside = ~space[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
-    bounds = offsets[:-1]
-    before[bounds[bounds < n]] = False
+    before[bounds] = False
     starts = np.flatnonzero(inside & ~before)
-    first = np.searchsorted(starts, offsets)
     if not len(starts):
-        return Words(starts, starts, np.zeros(0, np.uint64), first)
+        return starts, starts, np.zeros(0, np.uint64)
     spans = np.diff(starts, append=n)
     values = np.where(space, np.uint64(0), _VALUE)[data[starts[0] :]]
     values *= powers(int(spans.max()) + 1)[np.arange(starts[0], n) - np.repeat(starts, spans)]
@@ -99,8 +130,8 @@ def scan(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> W
     after[1:] = inside
     last = np.ones(n + 1, bool)
     last[:n] = ~inside
-    last[bounds[bounds < n]] = True
-    return Words(starts, np.flatnonzero(after & last), hashes, first)
+    last[bounds] = True
+    return starts, np.flatnonzero(after & last), hashes
 
 
 def shingles(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
