@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .sampling import bounded
 from .scratch import Scratch
-from .token_ids import TOGETHER, encoder
+from .token_ids import encoder
 from .words import _LOWER, _SPACE, filled, slices
 
 PER_DOMAIN = 1500
@@ -80,7 +80,7 @@ def _posteriors(logs: np.ndarray, tokenizer: str):
                 z = (x @ weights).astype(np.float64) / np.maximum(n, 1) * np.minimum(n, SHARPNESS)
                 p = np.exp(z - z.max(axis=1, keepdims=True)) if weights.shape[1] else z
                 p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
-                tokens = [len(ids) // coder.dtype.itemsize for k in range(lo, hi, TOGETHER) for ids in coder.encode(texts.slice(k, min(TOGETHER, hi - k)).to_pylist())]
+                _, tokens = coder.encode(texts.slice(lo, hi - lo))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_key").slice(lo, hi - lo), batch.column("doc_id").slice(lo, hi - lo), pa.array(tokens, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], ["doc_key", "doc_id", "n_tokens", "posterior"])
 
     return run

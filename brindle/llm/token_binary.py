@@ -6,7 +6,9 @@ each, stand apart in control bytes, four ids to a byte. A block holds the
 control bytes, the data bytes, and for each of its documents the doc_id and
 the number of ids. Blocks are rows of a Parquet container: Spark's committer
 makes the write safe against lost tasks, and any store that Spark can write
-will do. Files and the blocks in them ascend by doc_id.
+will do. Files and the blocks in them ascend by doc_id. A header beside them
+holds the id of each rank, the end id and where each file starts, so that the
+folder alone is enough to read the ids.
 
 Reading looks the lengths of four ids up in a table by the control byte, and
 gathers all ids of a block at once.
@@ -20,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_ids
@@ -116,34 +118,37 @@ def _explode_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
 
 
+HEADER_SCHEMA = "ids_of binary, end_id long, parts binary, starts binary"
+
+
 class TokenFiles:
-    """Written files: blocks (a DataFrame over them), ids_of (the id of each rank), where the parts start."""
+    """Token files in a folder, opened from the folder alone: blocks, ids_of (the id of each rank), end_id, and starts (part, ids before it)."""
 
-    def __init__(self, blocks: DataFrame, ids_of: np.ndarray):
-        self.blocks, self.ids_of = blocks, ids_of
-        sizes = sorted((r["part"], r["n"]) for r in blocks.groupBy("part").agg(F.sum("n_ids").alias("n")).collect())  # a row for each file
-        self.starts, at = [], 0
-        for part, n in sizes:
-            self.starts.append((part, at))
-            at += n
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+        self.blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
+        header = spark.read.schema(HEADER_SCHEMA).parquet(f"{path}/header").first()
+        self.ids_of, self.end_id = np.frombuffer(header["ids_of"], "<u4"), header["end_id"]
+        self.starts = list(zip(*(np.frombuffer(header[c], "<i8").tolist() for c in ("parts", "starts")), strict=True))
 
     def read(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 for each document, from the files' bytes."""
-        spark = self.blocks.sparkSession
         rows = self.blocks.mapInArrow(_read(self.ids_of), "part int, doc_id long, at long, n_tokens long, ids_crc32 long")
-        bases = spark.createDataFrame(self.starts or [(0, 0)], "part int, base long")
+        bases = self.spark.createDataFrame(self.starts or [(0, 0)], "part int, base long")
         return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> TokenFiles:
-    """Encodes every whole text (null: empty) and writes the ids, each document's followed by end_id.
+def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> TokenFiles:
+    """Encodes every whole text (null: empty) and writes the ids, each document's followed by end_id, to the folder path.
 
     Documents ascend by doc_id, null first; rows with one doc_id are ordered
     by their number of ids and the ids. Only doc_id and text are read.
-    An empty table gives no blocks.
+    An empty table gives no blocks. Without path the files go to the shared
+    folder.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
+    path = path or scratch.path("files")
     dtype = token_ids.dtype_of(tokenizer_path)
     made = documents.select("doc_id", "text").mapInArrow(token_ids.tokenised(tokenizer_path, end_id, counts=True), token_ids.SCHEMA)
     ids = scratch.write(made, "ids")
@@ -152,14 +157,19 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1
     n = np.zeros(max([vocabulary, end_id + 1, *(r["id"] + 1 for r in frequency)]), np.int64)
     for r in frequency:
         n[r["id"]] = r["n"]
-    ids_of = np.argsort(-n, kind="stable").astype(np.uint32)
+    ids_of = np.argsort(-n, kind="stable").astype("<u4")
     ranks = np.empty(len(n), np.uint32)
     ranks[ids_of] = np.arange(len(n), dtype=np.uint32)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = token_ids.in_order(ids.where(F.col("kind") == token_ids.IDS), parts)
-    blocks = scratch.write(ordered.mapInArrow(_blocks(ranks, dtype), BLOCK_SCHEMA), "files", "none")
+    shuffled = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = token_ids.in_order(ids.where(F.col("kind") == token_ids.IDS), shuffled)
+    ordered.mapInArrow(_blocks(ranks, dtype), BLOCK_SCHEMA).write.option("compression", "none").parquet(f"{path}/blocks")
+    sizes = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # a row for each file
+    parts = np.array(sorted((r["part"], r["n"]) for r in sizes), "<i8").reshape(-1, 2)
+    starts = np.cumsum(parts[:, 1]) - parts[:, 1]
+    header = (bytearray(ids_of.tobytes()), end_id, bytearray(parts[:, 0].astype("<i8").tobytes()), bytearray(starts.astype("<i8").tobytes()))
+    spark.createDataFrame([header], HEADER_SCHEMA).coalesce(1).write.parquet(f"{path}/header")
     scratch.drop("ids")
-    return TokenFiles(blocks, ids_of)
+    return TokenFiles(spark, path)
 
 
 def token_digest(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, html_text, language_id, license_scan, minhash_dedup, mixing, quality_rules, queries, token_binary, token_counts, toxicity
+from brindle.llm import decontaminate, html_text, language_id, license_scan, minhash_dedup, mixing, quality_rules, queries, token_binary, token_counts, token_ids, toxicity, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -170,7 +170,7 @@ def test_quality(spark, sf, odd, empty, labels):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
-def test_tokens(spark, sf, odd, empty):
+def test_tokens(spark, sf, odd, empty, tmp_path):
     from tokenizers import Tokenizer
 
     path = queries.tokenizer_path()
@@ -187,9 +187,35 @@ def test_tokens(spark, sf, odd, empty):
     assert key((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == key((r.doc_id, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for r, x in zip(rows, ids, strict=True))
     counted = token_counts.token_counts(docs, path, queries.SEPARATOR_ID, block_ids=64)
     assert key(map(tuple, counted.collect())) == key((r.doc_id, len(literal.encode(r.text or "", add_special_tokens=False).ids)) for r in rows)
+    files = token_binary.write_token_files(docs, path, path=str(tmp_path / "files"))
+    again = token_binary.TokenFiles(spark.newSession(), files.path)
+    assert again.end_id == 1 and key(map(tuple, again.read().collect())) == key(map(tuple, got))
     assert token_binary.token_digest(empty, path).count() == 0 and token_counts.token_counts(empty, path, 49407).count() == 0
 
 
+def test_encoder_of_odd_words(monkeypatch):
+    rng = np.random.default_rng(2)
+    letters = list("abcXYZ019.,'!?-_ \t\n\r\x0b\x0c\x00\x1c\x85éÀßΣσİ\u00a0\u3000\u0301漢字🙂") + ["<|endoftext|>", "'s ", "...", "  "]
+    texts = ["", *("".join(rng.choice(letters, n)) for n in rng.integers(0, 400, 300)), "word " * 400_000, "x" * 50_000]
+    monkeypatch.setattr(token_ids, "CACHE_WORDS", 500)  # the table is emptied many times
+    for literal in (False, True):
+        coder = token_ids.Encoder(queries.tokenizer_path(), literal)
+        wanted = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        for some in (texts, texts[-2:]):
+            ids, many = coder.encode(pa.array(some, pa.large_string()))
+            assert coder.by_word and many.tolist() == [len(x) for x in wanted[-len(some) :]] and ids.tolist() == sum(wanted[-len(some) :], [])
+
+
+def test_words_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = pa.array(["".join(rng.choice(list("abé \n."), n)) for n in (0, 5, 3000, 70_000)] + ["x" * 5000, " " * 5000, "end"])
+    whole = [words.scan(d, o) for _, _, d, o in words.slices(texts)][0]
+    monkeypatch.setattr(words, "SLICE_BYTES", 1000)
+    parts = [words.scan(d, o) for _, _, d, o in words.slices(texts, 1 << 30)][0]
+    for a, b in zip(vars(whole).values(), vars(parts).values(), strict=True):
+        assert (a == b).all()
+
+
 def test_variable_length_codes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 5, 1000):
