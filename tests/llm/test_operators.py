@@ -116,6 +116,54 @@ def test_leaks(spark, odd, empty):
     assert decontaminate.leaks(empty, items).count() == 0 and decontaminate.leaks(odd, items.limit(0)).count() == 0
 
 
+def best_windows(text, items):
+    """item_id: (shared, total, starts) of the best of all windows, where 0.75 is reached."""
+    out = {}
+    words = WORD.findall((text or "").lower())
+    for item_id, item in items:
+        own = WORD.findall((item or "").lower())
+        if not own:
+            continue
+        width = min(5, len(own))
+        of = lambda w: [tuple(w[i : i + width]) for i in range(len(w) - width + 1)]
+        bag, grams = collections.Counter(of(own)), of(words)
+        n = min(len(own), len(words)) - width + 1
+        if n < 1 or not bag.keys() & set(grams):
+            continue
+        held, shared, best = collections.Counter(), 0, (0.0, 0, 0, [])
+        for i, gram in enumerate(grams):
+            held[gram] += 1
+            shared += held[gram] <= bag[gram]
+            if i >= n:
+                gone = grams[i - n]
+                shared -= held[gone] <= bag[gone]
+                held[gone] -= 1
+            if i >= n - 1:
+                total = n + sum(bag.values()) - shared
+                if shared / total > best[0]:
+                    best = (shared / total, shared, total, [])
+                if shared / total == best[0]:
+                    best[3].append(i - n + 1)
+        if 100 * best[1] >= 75 * best[2] > 0:
+            out[item_id] = best[1:]
+    return out
+
+
+def test_leaks_brute_force(spark, sf):
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    made = [(900_001, " ".join(a + b)), (900_002, " ".join(a + ["z"] + b[:39])), (900_003, "to be or not to be " * 5), (900_004, "to be or not to be " * 5), (900_005, "three word item"), (900_006, "solitary")]
+    some = [made[2][1], "x " * 9 + " ".join(b + a) + " y" * 9, " ".join(a + b[:30]), " ".join(a[:20] + b), "solitary", "a three word item", "to be or not to be " * 4, " ".join(b[3:] + a + b[:3] + ["q"] + a + b), " ".join((a + b)[:40] + ["q"] + (a + b)[41:])]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame([(900_000 + i, t) for i, t in enumerate(some)], "doc_id long, text string"))
+    both = items.union(spark.createDataFrame(made, "item_id long, text string").select(F.col("item_id").cast(items.schema["item_id"].dataType), "text"))
+    pairs = [tuple(r) for r in both.collect()]
+    wanted = {(r.doc_id, i): x for r in docs.collect() for i, x in best_windows(r.text, pairs).items()}
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, both).collect()}
+    assert {k: (r.shared, r.total) for k, r in got.items()} == {k: x[:2] for k, x in wanted.items()}
+    assert all(r.first_word in wanted[k][2] for k, r in got.items()) and any(d < 900_000 for d, _ in got)
+    assert got[900_001, 900_001].first_word == 9
+
+
 def test_simhash_of_many_shingles(spark):
     h = 0x1234_5678_9ABC_DEF1
     rows = spark.range(70_000).select(F.lit(1).alias("k"), F.lit(h).alias("h"))
