@@ -14,6 +14,7 @@ from brindle.errors import BrindleError, CatalogError, ConstraintError, ParseErr
 from brindle.functions import dialect_functions as fn
 from brindle.functions.dialect_functions import SPARK_TYPES, Expr
 from brindle.operators import full_text
+from brindle.operators.recursion import recursive_union
 from brindle.plans import dialect
 from brindle.plans.dialect import Translator, quote
 from brindle.sources.store import Store, find, must_find, new_table
@@ -79,6 +80,7 @@ def _reason(e: Exception) -> str:
 
 class Database:
     MOST_NESTED = 32
+    MOST_TRIES = 50
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.store = spark, Store(spark, path)
@@ -114,6 +116,8 @@ class Database:
         if not one:
             raise ParseError("empty statement")
         word = one[0].lstrip().split(None, 1)[0].upper()
+        if self.staged is None:
+            self.store.refresh()
         if word in ("SELECT", "WITH", "VALUES"):
             return Result(self._select(one[0], params))
         if word == "PRAGMA":
@@ -135,32 +139,46 @@ class Database:
         if word == "BEGIN":
             if self.explicit:
                 raise TransactionError("a transaction is open")
+            self.store.refresh()
             self.staged, self.explicit = copy.deepcopy(self.store.manifest), True
             return 0
         if word in ("COMMIT", "END", "ROLLBACK"):
             if not self.explicit:
                 raise TransactionError("no transaction is open")
             done, self.staged, self.explicit = self.staged, None, False
-            if word != "ROLLBACK":
-                self.store.commit(done)
+            if word == "ROLLBACK":
+                self.store.abandon()
+            elif not self.store.commit(done):
+                self.store.abandon()
+                self.store.refresh()
+                raise TransactionError("another writer changed the database; the transaction was rolled back")
             return 0
         if word in ("SELECT", "WITH", "VALUES", "PRAGMA", "EXPLAIN"):
             self.query(sql, params).rows()
             return 0
-        outer = self.staged
-        self.staged = copy.deepcopy(self.manifest)
-        try:
-            n = self._change(sql, params)
-        except BrindleError:
-            self.staged = outer
-            raise
-        except Exception as e:
-            self.staged = outer
-            raise ConstraintError(_reason(e)) from e
-        if outer is None:
+        for _ in range(self.MOST_TRIES):
+            outer = self.staged
+            if outer is None:
+                self.store.refresh()
+            self.staged = copy.deepcopy(self.manifest)
+            try:
+                n = self._change(sql, params)
+            except Exception as e:
+                self.staged = outer
+                if outer is None:
+                    self.store.abandon()
+                if isinstance(e, BrindleError):
+                    raise
+                raise ConstraintError(_reason(e)) from e
+            if outer is not None:
+                return n
             done, self.staged = self.staged, None
-            self.store.commit(done)
-        return n
+            if self.store.commit(done):
+                if word == "VACUUM":
+                    self.store.clean()
+                return n
+            self.store.abandon()
+        raise TransactionError("other writers were faster too often")
 
     # reading
     def _columns(self, name: str) -> list[tuple[str, str]] | None:
@@ -195,66 +213,61 @@ class Database:
             return quote(name)
         raise CatalogError(f"no such table: {name}")
 
-    def _matched(self, name: str, query: str) -> DataFrame:
-        t = must_find(self.manifest["tables"], name)
-        table = self.manifest["tables"][t]
-        if table["module"] != "fts5":
-            raise ParseError(f"{name} is not a full-text table")
-        df = self.frame(t)
-        return df.join(full_text.match(df, "_rowid", [c["name"] for c in table["columns"]], query), "_rowid")
+    def _full_text(self, name: str, queries: list[str], marks: list[str]) -> str:
+        """The relation of a full-text table with rank, a truth value for each match, and its marked texts."""
+        table = self.manifest["tables"][must_find(self.manifest["tables"], name)]
+        df = self.frame(name)
+        return self._view(self._with_matches(df, table, queries, marks), name)
+
+    def _with_matches(self, df: DataFrame, table: dict, queries: list[str], marks: list[str]) -> DataFrame:
+        columns, rank = [c["name"] for c in table["columns"]], F.lit(0.0)
+        texts = [self._text(q) for q in queries]
+        for i, q in enumerate(texts):
+            hits = full_text.match(df.select("_rowid", *map(quote, columns)), "_rowid", columns, q).select(F.col("_rowid").alias("__id"), F.col("rank").alias(f"__rank{i}"))
+            df = df.join(hits, df["_rowid"] == F.col("__id"), "left").drop("__id").withColumn(f"__hit{i}", F.col(f"__rank{i}").isNotNull())
+            rank = F.coalesce(F.col("__rank0"), F.lit(0.0))
+        for i, mark in enumerate(marks):
+            kind, *args = re.findall(r"'(?:[^'\\]|\\.)*'|-?\d+L|\w+", mark)
+            before, after, *more = [self._text(x) if x[0] == "'" else int(x[:-1]) for x in args[1:]]
+            text = F.col(quote(columns[int(args[0][:-1])]))
+            made = full_text.highlight(text, " ".join(texts), before, after) if kind == "highlight" else full_text.snippet(text, " ".join(texts), before, after, *more)
+            df = df.withColumn(f"__mark{i}", made)
+        return df.withColumn("rank", rank).drop(*(f"__rank{i}" for i in range(len(texts))))
+
+    def _collations(self, name: str) -> dict[str, str]:
+        t = find(self.manifest["tables"], name)
+        return {c["name"]: c["collate"] for c in self.manifest["tables"][t]["columns"] if c.get("collate")} if t else {}
+
+    def _recursion(self, name: str, columns: list[str] | None, anchor: str, step: str) -> str:
+        """A recursion that drops rows found before, as a view; it runs while the statement is translated."""
+        first = self.spark.sql(anchor)
+        first = first.toDF(*columns) if columns else first
+        types = dict(first.dtypes)
+
+        def again(new: DataFrame) -> DataFrame:
+            view = self._view(new, name)
+            found = self.spark.sql(re.sub(rf"(FROM|JOIN) {re.escape(quote(name))}", rf"\\1 {view}", step)).toDF(*first.columns)
+            return found.select(*(F.col(quote(c)).cast(types[c]).alias(c) for c in first.columns))
+
+        return self._view(recursive_union(first, again), name)
 
     def _catalog(self) -> dialect.Catalog:
-        return dialect.Catalog(self._columns, self._relation, lambda name, q: self._view(self._matched(name, self._text(q)), name))
+        return dialect.Catalog(self._columns, self._relation, self._full_text, self._collations, self._recursion)
 
     @staticmethod
     def _text(sql: str) -> str:
         if not re.fullmatch(r"'(?:[^'\\]|\\.)*'", sql, re.S):
-            raise ParseError("MATCH takes a literal")
+            raise ParseError("a literal is needed")
         return re.sub(r"\\(.)", r"\1", sql[1:-1])
 
     def _select(self, sql: str, params) -> DataFrame:
         try:
-            return self.spark.sql(self._full_text(sql, dialect.to_spark(sql, self._catalog(), params)))
+            return self.spark.sql(dialect.to_spark(sql, self._catalog(), params))
         except BrindleError:
             raise
         except Exception as e:
             raise ParseError(_reason(e)) from e
 
-    def _full_text(self, sql: str, spark_sql: str) -> str:
-        """Puts matched rows, ranks and marked texts in place of MATCH, bm25, highlight and snippet."""
-        string = r"'(?:[^'\\]|\\.)*'"
-        query = ""
-        for m in list(re.finditer(rf"__match\(`([^`]+)`, ({string})\)", spark_sql)):
-            query = self._text(m[2])
-            name = m[1] if find(self.manifest["tables"], m[1]) else next((t for t in self.manifest["tables"] if self.manifest["tables"][t]["module"] == "fts5" and re.search(rf"\b{re.escape(t)}\b", sql, re.I)), m[1])
-            view = self._view(self._matched(name, query), name)
-            spark_sql = re.sub(rf"`{self.prefix}_{re.escape(name)}_\w+`", view, spark_sql).replace(m[0], "true")
-        if not query and (m := re.search(r"\bFROM\s+(\w+)\s*\(\s*'((?:[^']|'')*)'\s*\)", sql, re.I)):
-            query = m[2].replace("''", "'")
-        if "__" not in spark_sql:
-            return spark_sql
-
-        def marked(m: re.Match) -> str:
-            name = must_find(self.manifest["tables"], m[2])
-            args = re.findall(rf"{string}|-?\d+L", m[3])
-            column = self.manifest["tables"][name]["columns"][int(args[0][:-1])]["name"]
-            before, after, *more = [self._text(x) if x[0] == "'" else int(x[:-1]) for x in args[1:]]
-            text = F.col(quote(column))
-            made = full_text.highlight(text, query, before, after) if m[1] == "highlight" else full_text.snippet(text, query, before, after, *more)
-            view = f"{self.prefix}_{m[1]}_{uuid.uuid4().hex[:6]}"
-            self._marked[view] = made
-            return quote(view)
-
-        self._marked: dict[str, object] = {}
-        spark_sql = re.sub(r"__bm25\(`[^`]+`\)", "`rank`", spark_sql)
-        spark_sql = re.sub(rf"__(highlight|snippet)\(`([^`]+)`((?:, (?:{string}|-?\d+L))*)\)", marked, spark_sql)
-        for name, t in self.manifest["tables"].items():
-            if t["module"] == "fts5" and self._marked:
-                for view in set(re.findall(rf"`({self.prefix}_{re.escape(name)}_\w+)`", spark_sql)):
-                    df = self.spark.table(view)
-                    spark_sql = spark_sql.replace(quote(view), self._view(df.select("*", *(c.alias(k) for k, c in self._marked.items())), name))
-        return spark_sql
-
     # changes
     def _change(self, sql: str, params) -> int:
         t = Translator(sql, self._catalog(), params)
@@ -277,10 +290,17 @@ class Database:
             return self._vacuum()
         raise ParseError(f"unknown statement {word or sql[:20]}")
 
-    def _fire(self, timing: str, event: str, table: str) -> None:
+    def _fire(self, timing: str, event: str, table: str, columns: set[str] | None = None) -> bool:
+        """Runs the triggers, once for each statement, in the order of their names; columns are those that UPDATE sets."""
+        fired = False
         for name in sorted(self.manifest["triggers"]):
             trigger = self.manifest["triggers"][name]
             if (trigger["timing"], trigger["event"], trigger["table"].lower()) == (timing, event, table.lower()):
+                fired = True
+                if columns is not None and trigger.get("of") and not columns & {c.lower() for c in trigger["of"]}:
+                    continue
+                if trigger.get("when") and not self._select(f"SELECT 1 WHERE {trigger['when']}", ()).count():
+                    continue
                 if self.nested >= self.MOST_NESTED:
                     raise BrindleError("triggers are nested too deeply")
                 self.nested += 1
@@ -289,6 +309,15 @@ class Database:
                         self._change(body, ())
                 finally:
                     self.nested -= 1
+        return fired
+
+    def _instead(self, name: str, event: str) -> bool:
+        """Whether name is a view whose INSTEAD OF triggers took the statement's place."""
+        if find(self.manifest["tables"], name) is None and (view := find(self.manifest["views"], name)) is not None:
+            if not self._fire("INSTEAD OF", event, view):
+                raise CatalogError(f"cannot modify {view}: it is a view without an INSTEAD OF {event} trigger")
+            return True
+        return False
 
     def _coerced(self, x: Expr, c: dict) -> str:
         """x as the column's type; a value that does not fit raises, naming the column."""
@@ -310,11 +339,11 @@ class Database:
             return f"cast({sql} AS binary)"
         return f"if({sql} IS NULL, NULL, coalesce({made}, {fail}))"
 
-    def _finish(self, df: DataFrame, table: dict) -> DataFrame:
-        """Adds the stored generated columns and puts all stored columns in order."""
+    def _finish(self, df: DataFrame, table: dict, *more: str) -> DataFrame:
+        """Adds the stored generated columns and puts all stored columns in order, more after them."""
         stored = [c for c in table["columns"] if c.get("generated") and c.get("stored")]
         df = df.drop(*(c["name"] for c in stored)).select("*", *(F.expr(c["generated"]).cast(SPARK_TYPES[c["kind"]]).alias(c["name"]) for c in stored))
-        return df.select("_rowid", *(quote(c["name"]) for c in table["columns"] if not c.get("generated") or c.get("stored")))
+        return df.select("_rowid", *(quote(c["name"]) for c in table["columns"] if not c.get("generated") or c.get("stored")), *more)
 
     def _keys(self, name: str) -> list[list[str]]:
         table = self.manifest["tables"][name]
@@ -336,11 +365,33 @@ class Database:
                 if found[i]:
                     raise ConstraintError(what)
         for key in self._keys(name):
-            cols = [quote(k) for k in key]
-            some = new.select(*cols).dropna()
-            if some.groupBy(*cols).count().where("count > 1").limit(1).count() or old is not None and some.join(old.select(*cols), key, "left_semi").limit(1).count():
+            some = new.select(*self._key(name, key)).dropna()
+            if some.groupBy(*some.columns).count().where("count > 1").limit(1).count() or old is not None and some.join(old.select(*self._key(name, key)), some.columns, "left_semi").limit(1).count():
                 raise ConstraintError(f"UNIQUE constraint failed: {name}.{', '.join(key)}")
 
+    def _key(self, name: str, key: list[str]) -> list:
+        """The columns of a key as they are compared: under their collation."""
+        how = {"NOCASE": F.lower, "RTRIM": lambda x: F.rtrim(x)}
+        own = {c["name"].lower(): c for c in self.manifest["tables"][name]["columns"]}
+        columns = [own[k.lower()] for k in key]
+        return [how.get(c.get("collate"), lambda x: x)(F.col(quote(c["name"]))).alias(f"__k{i}") for i, c in enumerate(columns)]
+
+    def _numbered(self, df: DataFrame) -> DataFrame:
+        """Rows with __n from 0 on, without gaps, in the order of the partitions: written once, then numbered by the sizes of the tasks' parts."""
+        at = self.store.write(df.withColumn("__n", F.monotonically_increasing_id()), "staged")
+        schema = df.schema.add("__n", "long")
+        rows = self.spark.read.schema(schema).parquet(*at) if at else self.spark.createDataFrame([], schema)
+        sizes = sorted((r["b"], r["n"]) for r in rows.groupBy(F.shiftright("__n", 33).alias("b")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each task
+        before, offsets = 0, []
+        for b, n in sizes:
+            offsets.append((b, before))
+            before += n
+        if len(offsets) < 2 and (not offsets or offsets[0] == (0, 0)):
+            return rows
+        known = self.spark.createDataFrame(offsets, "b long, before long")
+        inside = F.col("__n").bitwiseAND(F.lit((1 << 33) - 1))
+        return rows.withColumn("b", F.shiftright("__n", 33)).join(F.broadcast(known), "b").withColumn("__n", F.col("before") + inside).drop("b", "before")
+
     def _insert(self, t: Translator) -> int:
         replace = t.take("REPLACE")
         if not replace:
@@ -350,7 +401,10 @@ class Database:
                     raise ParseError("only OR REPLACE is known")
                 replace = True
         t.need("INTO")
-        name = must_find(self.manifest["tables"], t.name())
+        name = t.name()
+        if self._instead(name, "INSERT"):
+            return 0
+        name = must_find(self.manifest["tables"], name)
         table = self.manifest["tables"][name]
         given = [c["name"] for c in table["columns"] if not c.get("generated")]
         if t.take("("):
@@ -392,7 +446,7 @@ class Database:
                 raise ParseError(f"{len(inner.columns)} columns for {len(columns)}")
             inner = inner.toDF(*(f"c{i}" for i in range(len(columns))))
             kinds = {"string": "text", "binary": "blob", "double": "real", "float": "real", "void": "null"}
-            df = inner.select(F.monotonically_increasing_id().alias("__n"), *(F.expr(self._coerced(Expr(f"c{i}", kinds.get(inner.dtypes[i][1], "int" if "int" in inner.dtypes[i][1] else "")), c)).alias(c["name"]) for i, c in enumerate(columns)))
+            df = self._numbered(inner).select("__n", *(F.expr(self._coerced(Expr(f"c{i}", kinds.get(inner.dtypes[i][1], "int" if "int" in inner.dtypes[i][1] else "")), c)).alias(c["name"]) for i, c in enumerate(columns)))
         names = {c["name"] for c in columns}
         missing = [c for c in table["columns"] if c["name"] not in names and not c.get("generated")]
         df = df.select("*", *(F.expr(c.get("default") or "NULL").cast(SPARK_TYPES[c["kind"]]).alias(c["name"]) for c in missing))
@@ -401,57 +455,87 @@ class Database:
         if pk:
             df = df.withColumn(pk, F.coalesce(F.col(quote(pk)), rowid))
             rowid = F.col(quote(pk))
-        df = self._finish(df.withColumn("_rowid", rowid), table)
-        at = self.store.write(self.store.fields(df, table), name)
-        new = self.store.read(table | {"files": [at]})
-        old = self.frame(name)
-        replace = replace or table["module"] == "rtree"
-        if replace:
-            new, old = self._replaced(new, old, name)
-            files = [self.store.write(self.store.fields(old, table), name), self.store.write(self.store.fields(new, table), name)]
-            new, old = self.store.read(table | {"files": files[1:]}), self.store.read(table | {"files": files[:1]})
-        else:
-            files = [*table["files"], at]
-        self._checked(new, old if table["files"] or replace else None, name)
+        df = self._finish(df.withColumn("_rowid", rowid), table, "__n")
+        files = self.store.write(self.store.fields(df, table, "__n"), name)
+        new, old, kept = self.store.read(table | {"files": files}), self.frame(name), table["files"]
+        if replace or table["module"] == "rtree":
+            keys = self._keys(name)
+            last = self._last(self.store.read(table | {"files": files}, "__n"), keys, name)
+            kept = self._without(old, new, keys, name)
+            files = self.store.write(self.store.fields(last, table), name)
+            new, old = self.store.read(table | {"files": files}), self.store.read(table | {"files": kept})
+        self._checked(new, old if kept else None, name)
         found = new.agg(F.count(F.lit(1)), F.max("_rowid")).first()
-        table["files"], table["next_rowid"] = files, max(table["next_rowid"], (found[1] or 0) + 1)
+        table["files"], table["next_rowid"] = [*kept, *files], max(table["next_rowid"], (found[1] or 0) + 1)
         self._returning(t, new, name)
         self._fire("AFTER", "INSERT", name)
         return found[0]
 
-    def _replaced(self, new: DataFrame, old: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-        """New rows, the last of each key, and the old rows whose keys they do not take."""
-        for key in self._keys(name):
-            last = new.groupBy(*map(quote, key)).agg(F.max("_rowid").alias("_rowid"))
-            if self._rowid_column(self.manifest["tables"][name]) not in key:
-                new = new.join(last.select("_rowid"), "_rowid", "left_semi")
-            else:
-                new = new.dropDuplicates(key)
-            old = old.join(new.select(*map(quote, key)), key, "left_anti")
-        return new, old
+    def _last(self, rows: DataFrame, keys: list[list[str]], name: str) -> DataFrame:
+        """The rows that no later row of the statement (by __n) replaces; null keys are equal to none."""
+        out = rows
+        for key in keys:
+            compared = self._key(name, key)
+            last = rows.select(*compared, "__n").dropna().groupBy(*(f"__k{i}" for i in range(len(key)))).agg(F.max("__n").alias("__last"))
+            again = out.select("*", *compared).join(last, [f"__k{i}" for i in range(len(key))], "left")
+            out = again.where("__last IS NULL OR __last = __n").select(*out.columns)
+        return out
+
+    def _without(self, old: DataFrame, new: DataFrame, keys: list[list[str]], name: str) -> list[str]:
+        """The files of the table without the rows whose keys the new rows take; files without such rows stay as they are."""
+        table = self.manifest["tables"][name]
+        taken = None
+        for key in keys:
+            compared, ks = self._key(name, key), [f"__k{i}" for i in range(len(key))]
+            ids = old.select("_rowid", *compared).join(new.select(*compared).dropna().distinct(), ks, "left_semi").select("_rowid")
+            taken = ids if taken is None else taken.union(ids)
+        if taken is None or not table["files"]:
+            return table["files"]
+        taken = taken.distinct()
+        touched, rest = self._touched(self.store.read(table, "__file").join(taken, "_rowid", "left_semi"), table)
+        if not touched:
+            return rest
+        left = self.store.read(table | {"files": touched}).join(taken, "_rowid", "left_anti")
+        return [*rest, *self.store.write(self.store.fields(left, table), name)]
+
+    @staticmethod
+    def _touched(rows: DataFrame, table: dict) -> tuple[list[str], list[str]]:
+        """The files of rows (with __file), and the others of the table."""
+        names = {r["__file"] for r in rows.select("__file").distinct().collect()}  # a row for each file
+        return [x for x in table["files"] if x.rpartition("/")[2] in names], [x for x in table["files"] if x.rpartition("/")[2] not in names]
 
     @staticmethod
     def _rowid_column(table: dict) -> str | None:
         pks = [c for c in table["columns"] if c.get("pk")]
         return pks[0]["name"] if len(pks) == 1 and pks[0]["kind"] == "int" else None
 
-    def _target(self, t: Translator) -> tuple[str, str]:
-        name = must_find(self.manifest["tables"], t.name())
-        t.scopes.append(dialect.Scope([dialect.Source(name, self._columns(name), True)]))
-        return name, name
+    def _target(self, t: Translator, name: str) -> str:
+        name = must_find(self.manifest["tables"], name)
+        relation = quote(f"{self.prefix}_target_{uuid.uuid4().hex[:6]}")
+        t.scopes.append(dialect.Scope([dialect.Source(name, self._columns(name), True, name, relation)]))
+        return name
 
-    def _where(self, t: Translator, df: DataFrame, name: str) -> DataFrame:
-        """df with a column __hit: whether WHERE holds."""
+    def _marks_hits(self, t: Translator, name: str):
+        """A function that marks a frame of the table with __hit: whether WHERE holds."""
         condition = t.condition() if t.take("WHERE") else "true"
-        if m := re.search(r"__match\(`[^`]+`, ('(?:[^'\\]|\\.)*')\)", condition):
-            ids = self._matched(name, self._text(m[1])).select(F.col("_rowid").alias("__m"))
-            condition = condition.replace(m[0], f"(_rowid IN (SELECT __m FROM {self._view(ids, name)}))")
-        view = self._view(df, name)
-        return self.spark.sql(f"SELECT *, coalesce({condition}, false) AS __hit FROM {view} AS {quote(name)}")
+        source, table = t.scopes[0].sources[0], self.manifest["tables"][name]
+        queries = list(source.queries)
+        t.full_text = [x for x in t.full_text if x is not source]
+
+        def mark(df: DataFrame) -> DataFrame:
+            if queries:
+                ranked = self._with_matches(self.frame(name), table, queries, [])
+                df = df.join(ranked.select("_rowid", *(f"__hit{i}" for i in range(len(queries)))), "_rowid")
+            return self.spark.sql(f"SELECT *, coalesce({condition}, false) AS __hit FROM {self._view(df, name)} AS {quote(name)}")
+
+        return mark
 
     def _update(self, t: Translator) -> int:
         t.need("UPDATE")
-        name, _ = self._target(t)
+        name = t.name()
+        if self._instead(name, "UPDATE"):
+            return 0
+        name = self._target(t, name)
         table = self.manifest["tables"][name]
         t.need("SET")
         sets: dict[str, str] = {}
@@ -466,38 +550,44 @@ class Database:
             sets[c["name"]] = self._coerced(t.expr(), c)
             if not t.take(","):
                 break
-        self._fire("BEFORE", "UPDATE", name)
+        changing = {c.lower() for c in sets}
+        self._fire("BEFORE", "UPDATE", name, changing)
         table = self.manifest["tables"][name]
-        marked = self._where(t, self.frame(name), name)
-        view = self._view(marked, name)
+        mark = self._marks_hits(t, name)
+        touched, rest = self._touched(mark(self.store.read(table, "__file")).where("__hit"), table)
+        marked = mark(self.store.read(table | {"files": touched}))
         shown = ["_rowid", "__hit"] + [f"if(__hit, {sets[c['name']]}, {quote(c['name'])}) AS {quote(c['name'])}" if c["name"] in sets else quote(c["name"]) for c in table["columns"] if not c.get("generated")]
-        changed = self.spark.sql(f"SELECT {', '.join(shown)} FROM {view} AS {quote(name)}")
+        changed = self.spark.sql(f"SELECT {', '.join(shown)} FROM {self._view(marked, name)} AS {quote(name)}")
         pk = self._rowid_column(table)
         if pk in sets:
-            changed = changed.withColumn("_rowid", F.col(quote(pk)))
-        hits = [self._finish(changed.where("__hit"), table), self._finish(changed.where("NOT __hit"), table)]
-        files = [self.store.write(self.store.fields(x, table), name) for x in hits]
-        new, rest = (self.store.read(table | {"files": [f]}) for f in files)
-        self._checked(new, rest, name)
-        table["files"] = files
+            changed = changed.withColumn("_rowid", F.coalesce(F.col(quote(pk)), F.col("_rowid")))
+        parts = [self._finish(changed.where("__hit"), table), self._finish(changed.where("NOT __hit"), table)]
+        files = [self.store.write(self.store.fields(x, table), name) if touched else [] for x in parts]
+        new, others = (self.store.read(table | {"files": f}) for f in (files[0], files[1] + rest))
+        self._checked(new, others, name)
+        table["files"] = rest + files[1] + files[0]
         found = new.agg(F.count(F.lit(1)), F.max("_rowid")).first()
         table["next_rowid"] = max(table["next_rowid"], (found[1] or 0) + 1)
         self._returning(t, new, name)
-        self._fire("AFTER", "UPDATE", name)
+        self._fire("AFTER", "UPDATE", name, changing)
         return found[0]
 
     def _delete(self, t: Translator) -> int:
         t.need("DELETE", "FROM")
-        name, _ = self._target(t)
+        name = t.name()
+        if self._instead(name, "DELETE"):
+            return 0
+        name = self._target(t, name)
         self._fire("BEFORE", "DELETE", name)
         table = self.manifest["tables"][name]
-        before = self.frame(name)
-        marked = self._where(t, before, name)
-        at = self.store.write(self.store.fields(marked.where("NOT __hit"), table), name)
+        mark = self._marks_hits(t, name)
+        touched, rest = self._touched(mark(self.store.read(table, "__file")).where("__hit"), table)
+        marked = mark(self.store.read(table | {"files": touched}))
+        files = self.store.write(self.store.fields(marked.where("NOT __hit"), table), name) if touched else []
         gone = marked.where("__hit").drop("__hit")
         n = gone.count()
         self._returning(t, gone, name)
-        table["files"] = [at]
+        table["files"] = rest + files
         self._fire("AFTER", "DELETE", name)
         return n
 
@@ -570,8 +660,8 @@ class Database:
             kinds = {"string": "text", "binary": "blob", "double": "real", "float": "real"}
             columns = [{"name": n, "type": k.upper(), "kind": kinds.get(k, "int" if "int" in k or k == "boolean" else "text"), "id": i} for i, (n, k) in enumerate(df.dtypes)]
             table = self.manifest["tables"][name] = new_table(columns)
-            rows = df.select((F.monotonically_increasing_id() + 1).alias("_rowid"), *(F.col(quote(c["name"])).cast(SPARK_TYPES[c["kind"]]).alias(c["name"]) for c in columns))
-            table["files"] = [self.store.write(self.store.fields(rows, table), name)]
+            rows = self._numbered(df).select((F.col("__n") + 1).alias("_rowid"), *(F.col(quote(c["name"])).cast(SPARK_TYPES[c["kind"]]).alias(c["name"]) for c in columns))
+            table["files"] = self.store.write(self.store.fields(rows, table), name)
             found = self.frame(name).agg(F.count(F.lit(1)), F.max("_rowid")).first()
             table["next_rowid"] = (found[1] or 0) + 1
             return found[0]
@@ -648,6 +738,8 @@ class Database:
                 t.need(")")
             elif t.take("COLLATE"):
                 c["collate"] = t.name().upper()
+                if c["collate"] not in fn.COLLATIONS:
+                    raise ParseError(f"no such collation: {c['collate']}")
             elif t.take("REFERENCES"):
                 t.name()
                 if t.peek() == "(":
@@ -681,21 +773,30 @@ class Database:
         timing = "BEFORE" if t.take("BEFORE") else "INSTEAD OF" if t.take("INSTEAD", "OF") else "AFTER"
         timing = "AFTER" if t.take("AFTER") else timing
         event = t.name().upper()
-        if event == "UPDATE" and t.take("OF"):
-            t.names()
+        of = t.names() if event == "UPDATE" and t.take("OF") else []
         t.need("ON")
-        table = must_find(self.manifest["tables"], t.name())
+        on = t.name()
+        table = find(self.manifest["views"], on) if timing == "INSTEAD OF" else must_find(self.manifest["tables"], on)
+        if table is None:
+            raise CatalogError(f"no such view: {on}")
         t.take("FOR", "EACH", "ROW")
-        if t.take("WHEN"):
-            t.expr()
-        if t.peek() != "BEGIN":
-            raise ParseError("a trigger's body starts with BEGIN")
-        body = t.sql[t.tokens[t.at].at + 5 : t.tokens[-1 if t.tokens[-1].text != ";" else -2].at]
+        start = t.at
+        while t.peek() != "BEGIN":
+            if t.done():
+                raise ParseError("a trigger's body starts with BEGIN")
+            t.at += 1
+        begin = t.tokens[t.at].at
+        when = t.sql[t.tokens[start].at : begin].strip()
+        if when and not when.upper().startswith("WHEN"):
+            raise ParseError(f"unexpected {when.split()[0]}")
+        if any(a.upper in ("NEW", "OLD") and b.text == "." for a, b in zip(t.tokens, t.tokens[1:], strict=False)):
+            raise ParseError("a trigger runs once for each statement; there are no NEW and OLD rows")
+        body = t.sql[begin + 5 : t.tokens[-1 if t.tokens[-1].text != ";" else -2].at]
         if find(self.manifest["triggers"], name):
             if exists:
                 return 0
             raise CatalogError(f"trigger {name} exists already")
-        self.manifest["triggers"][name] = {"timing": timing, "event": event, "table": table, "body": dialect.statements(body)}
+        self.manifest["triggers"][name] = {"timing": timing, "event": event, "table": table, "of": of, "when": when[4:].strip(), "body": dialect.statements(body)}
         return 0
 
     def _drop(self, t: Translator) -> int:
@@ -714,6 +815,8 @@ class Database:
         if what == "table":
             for kind in ("indexes", "triggers"):
                 self.manifest[kind] = {k: v for k, v in self.manifest[kind].items() if v["table"] != found}
+        if what == "view":
+            self.manifest["triggers"] = {k: v for k, v in self.manifest["triggers"].items() if (v["timing"], v["table"]) != ("INSTEAD OF", found)}
         return 0
 
     def _alter(self, t: Translator) -> int:
@@ -748,7 +851,7 @@ class Database:
             if c.get("notnull") and not c.get("default"):
                 raise ConstraintError("a NOT NULL column needs a default")
             if c.get("default"):
-                c["filled"] = table["next_rowid"]
+                c["filled"] = list(table["files"])
             table["columns"].append(c)
             table["next_field"] += 1
         elif t.take("DROP"):
@@ -780,11 +883,11 @@ class Database:
         return 0
 
     def _vacuum(self) -> int:
-        """Rewrites each table of several file sets into one, in ascending _rowid."""
+        """Rewrites each table of several files in ascending _rowid; once that is committed, the files of older versions go."""
         for name, table in self.manifest["tables"].items():
             if len(table["files"]) > 1:
                 rows = self.store.fields(self.frame(name), table)
-                table["files"] = [self.store.write(rows.repartitionByRange("_rowid").sortWithinPartitions("_rowid"), name)]
+                table["files"] = self.store.write(rows.repartitionByRange("_rowid").sortWithinPartitions("_rowid"), name)
                 for c in table["columns"]:
                     c.pop("filled", None)
         return 0

@@ -11,6 +11,7 @@ from brindle.errors import ParseError
 class Expr:
     sql: str
     kind: str  # int, real, text, blob, bool, null, or '' if unknown
+    collation: str = ""  # of a column that was declared with one
 
 
 NUMBERS = ("int", "real", "bool")
@@ -81,12 +82,22 @@ def classes_differ(x: Expr, y: Expr) -> bool:
     return a is not None and b is not None and a != b
 
 
+COLLATIONS = {"BINARY": "UTF8_BINARY", "NOCASE": "UTF8_LCASE", "RTRIM": "UTF8_BINARY_RTRIM"}
+
+
+def collated(x: Expr) -> str:
+    """The value, under its column's own collation."""
+    return f"({x.sql} COLLATE {COLLATIONS[x.collation]})" if x.collation else value(x)
+
+
 def compare(op: str, x: Expr, y: Expr) -> Expr:
     if classes_differ(x, y):  # numbers < texts < blobs, whatever the values
         a, b = _class(x), _class(y)
         holds = {"=": False, "<>": True, "<": a < b, "<=": a < b, ">": a > b, ">=": a > b}[op]
         return Expr(f"if({x.sql} IS NULL OR {y.sql} IS NULL, NULL, {str(holds).lower()})", "bool")
-    return Expr(f"({value(x)} {op} {value(y)})", "bool")
+    if x.collation:  # that of the left side counts
+        return Expr(f"({collated(x)} {op} {value(y)})", "bool")
+    return Expr(f"({value(x)} {op} {collated(y)})", "bool")
 
 
 def binary(op: str, x: Expr, y: Expr) -> Expr:
@@ -113,10 +124,9 @@ def cast(x: Expr, kind: str) -> Expr:
 
 
 def collate(x: Expr, name: str) -> Expr:
-    known = {"BINARY": "UTF8_BINARY", "NOCASE": "UTF8_LCASE", "RTRIM": "UTF8_BINARY_RTRIM"}
-    if name.upper() not in known:
+    if name.upper() not in COLLATIONS:
         raise ParseError(f"no such collation: {name}")
-    return Expr(f"({text(x)} COLLATE {known[name.upper()]})", x.kind)
+    return Expr(f"({text(x)} COLLATE {COLLATIONS[name.upper()]})", x.kind)
 
 
 def aggregate(name: str, args: list[Expr], star: bool, distinct: bool, order: str) -> Expr:
@@ -386,8 +396,6 @@ REGISTERED: dict[str, str] = {}
 
 
 def scalar(name: str, args: list[Expr]) -> Expr:
-    if name in ("HIGHLIGHT", "SNIPPET", "BM25"):
-        return Expr(f"__{name.lower()}({', '.join(x.sql for x in args)})", "real" if name == "BM25" else "text")
     if name in REGISTERED:
         return Expr(f"{name.lower()}({', '.join(map(value, args))})", REGISTERED[name])
     if name not in FUNCTIONS:
