@@ -89,6 +89,7 @@ class Database:
         self.explicit = False
         self.nested = 0
         self.returned: DataFrame | None = None
+        self.registered: dict[str, tuple[DataFrame, list[tuple[str, str]]]] = {}
         spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
         spark.conf.set("spark.sql.cteRecursionRowLimit", "100000000")
 
@@ -105,6 +106,11 @@ class Database:
         self.spark.udf.register(name.lower(), f, SPARK_TYPES[kind])
         fn.REGISTERED[name.upper()] = kind
 
+    def register_table(self, name: str, df: DataFrame) -> None:
+        """Lets statements of this object read df under a name; nothing is copied."""
+        kinds = {"string": "text", "binary": "blob", "double": "real", "float": "real", "boolean": "int", "tinyint": "int", "smallint": "int", "int": "int", "bigint": "int"}
+        self.registered[name] = (df, [(c, kinds.get(k, "real" if k.startswith("decimal") else "")) for c, k in df.dtypes])
+
     # entry points
     def execute(self, sql: str, params: list | tuple = ()) -> int:
         """Runs all statements in order; the number of changed rows. Each is atomic unless BEGIN opened a transaction."""
@@ -186,7 +192,8 @@ class Database:
             table = self.manifest["tables"][t]
             shown = [(c["name"], c["kind"]) for c in table["columns"]]
             return shown + [("rank", "real")] if table["module"] == "fts5" else shown
-        return None
+        known = find(self.registered, name)
+        return self.registered[known][1] if known and find(self.manifest["views"], name) is None else None
 
     def frame(self, name: str) -> DataFrame:
         return self.store.read(self.manifest["tables"][must_find(self.manifest["tables"], name)])
@@ -206,6 +213,8 @@ class Database:
             view = self.manifest["views"][v]
             df = self._select(view["sql"], ())
             return self._view(df.toDF(*view["columns"]) if view["columns"] else df, v)
+        if (known := find(self.registered, name)) is not None:
+            return self._view(self.registered[known][0], known)
         for schema in (*self.manifest["attached"], "main", "temp"):
             if name.lower() == schema.lower():
                 raise CatalogError(f"{name} is a database")
@@ -246,13 +255,13 @@ class Database:
 
         def again(new: DataFrame) -> DataFrame:
             view = self._view(new, name)
-            found = self.spark.sql(re.sub(rf"(FROM|JOIN) {re.escape(quote(name))}", rf"\\1 {view}", step)).toDF(*first.columns)
+            found = self.spark.sql(re.sub(rf"(FROM|JOIN) {re.escape(quote(name))}", rf"\1 {view}", step)).toDF(*first.columns)
             return found.select(*(F.col(quote(c)).cast(types[c]).alias(c) for c in first.columns))
 
         return self._view(recursive_union(first, again), name)
 
     def _catalog(self) -> dialect.Catalog:
-        return dialect.Catalog(self._columns, self._relation, self._full_text, self._collations, self._recursion)
+        return dialect.Catalog(self._columns, self._relation, self._full_text, self._collations, lambda name: find(self.manifest["tables"], name) is not None, self._recursion)
 
     @staticmethod
     def _text(sql: str) -> str:

@@ -120,3 +120,76 @@ def test_full_text_and_boxes(db):
     assert rows(db, "SELECT id FROM r WHERE x0 <= 11 AND x1 >= 3 AND y0 <= 11 AND y1 >= 3 ORDER BY id") == [(1,), (2,), (4,)]
     with pytest.raises(ConstraintError):
         db.execute("INSERT INTO r VALUES (5, 3, 1, 0, 1)")
+
+
+def test_two_writers_lose_nothing(spark, users):
+    other = Database(spark, str(users.store.path))
+    users.execute("INSERT INTO users (name) VALUES ('from a')")
+    other.execute("INSERT INTO users (name) VALUES ('from b')")
+    users.execute("INSERT INTO users (name) VALUES ('a again')")
+    assert rows(other, "SELECT id, name FROM users WHERE id > 3 ORDER BY id") == [(4, "from a"), (5, "from b"), (6, "a again")]
+    users.execute("BEGIN; DELETE FROM users WHERE id = 4")
+    other.execute("DELETE FROM users WHERE id = 5")
+    with pytest.raises(TransactionError):
+        users.execute("COMMIT")
+    assert rows(users, "SELECT id FROM users WHERE id > 3 ORDER BY id") == [(4,), (6,)]
+
+
+def test_a_conflict_inside_a_statement_is_retried(spark, users, monkeypatch):
+    other = Database(spark, str(users.store.path))
+    plain, calls = users._change, []
+
+    def change(sql, params):
+        n = plain(sql, params)
+        if not calls:
+            other.execute("INSERT INTO users (name) VALUES ('between')")
+        calls.append(sql)
+        return n
+
+    monkeypatch.setattr(users, "_change", change)
+    users.execute("INSERT INTO users (name) VALUES ('mine')")
+    assert len(calls) == 2 and rows(users, "SELECT id, name FROM users WHERE id > 3 ORDER BY id") == [(4, "between"), (5, "mine")]
+
+
+def test_or_replace_keeps_nulls_and_the_last(db):
+    db.execute("CREATE TABLE k (id INTEGER PRIMARY KEY, u TEXT UNIQUE, n INTEGER); INSERT OR REPLACE INTO k VALUES (9, NULL, 1), (10, NULL, 2); INSERT OR REPLACE INTO k VALUES (3, 'z', 7), (3, 'z', 8)")
+    assert rows(db, "SELECT * FROM k ORDER BY id") == [(3, "z", 8), (9, None, 1), (10, None, 2)]
+
+
+def test_null_over_an_added_default(users):
+    users.execute("ALTER TABLE users ADD COLUMN city TEXT DEFAULT 'X'; UPDATE users SET city = NULL WHERE id = 2; INSERT INTO users VALUES (-1, 'low', 1, NULL)")
+    assert rows(users, "SELECT id, city FROM users ORDER BY id") == [(-1, None), (1, "X"), (2, None), (3, "X")]
+
+
+def test_ids_without_gaps(spark, db):
+    spark.range(0, 1000, 1, 8).createOrReplaceTempView("thousand")
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, x INTEGER); INSERT INTO t (x) SELECT id FROM thousand; INSERT INTO t (x) VALUES (-1); CREATE TABLE c AS SELECT id AS x FROM thousand")
+    assert rows(db, "SELECT MIN(id), MAX(id), COUNT(DISTINCT id), SUM(id - x = 1) FROM t") == [(1, 1001, 1001, 1000)]
+    assert rows(db, "SELECT MAX(rowid), MIN(rowid), COUNT(DISTINCT rowid) FROM c") == [(1000, 1, 1000)]
+
+
+def test_only_touched_files_are_rewritten(users):
+    users.execute("INSERT INTO users (name) VALUES ('one more')")
+    before = users.manifest["tables"]["users"]["files"]
+    users.execute("UPDATE users SET age = 1 WHERE id = 4")
+    after = users.manifest["tables"]["users"]["files"]
+    assert set(before[:-1]) <= set(after) and before[-1] not in after
+    assert users.execute("DELETE FROM users WHERE id = 99") == 0 and users.manifest["tables"]["users"]["files"] == after
+    users.execute("VACUUM")
+    assert rows(users, "SELECT COUNT(*) FROM users") == [(4,)] and not set(users.manifest["tables"]["users"]["files"]) & set(before)
+
+
+def test_triggers_refuse_rows(users):
+    for bad in ("CREATE TRIGGER t AFTER DELETE ON users BEGIN DELETE FROM users WHERE id = OLD.id; END", "CREATE TRIGGER t AFTER DELETE ON users WHEN OLD.id > 1 BEGIN DELETE FROM users; END", "INSERT INTO nowhere VALUES (1)"):
+        with pytest.raises(BrindleError):
+            users.execute(bad)
+    users.execute("CREATE VIEW v AS SELECT name FROM users")
+    with pytest.raises(CatalogError):
+        users.execute("DELETE FROM v")
+
+
+def test_collation_of_a_column(db):
+    db.execute("CREATE TABLE c (n TEXT COLLATE NOCASE UNIQUE); INSERT INTO c VALUES ('b'), ('Ab'), ('C')")
+    assert rows(db, "SELECT n FROM c WHERE n = 'AB'") == [("Ab",)] and rows(db, "SELECT n FROM c ORDER BY n") == [("Ab",), ("b",), ("C",)]
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO c VALUES ('aB')")

@@ -27,7 +27,13 @@ def test_query(spark, sf, duck, name):
     columns = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(columns)
     at = [columns.index(c) for c in sorted(columns)]
-    assert shown(tuple(r) for r in df.select(*sorted(columns)).collect()) == shown(tuple(r[i] for i in at) for r in cur.fetchall())
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE"}
+    own = {d[0]: str(d[1]) for d in cur.description}
+    if name.startswith("sql_"):
+        assert {c: kinds[k] for c, k in df.dtypes} == own
+    got = df.select(*sorted(columns)).collect()
+    assert got or not name.startswith("sql_")
+    assert shown(map(tuple, got)) == shown(tuple(r[i] for i in at) for r in cur.fetchall())
 
 
 def test_filter_reaches_the_scan(spark, sf):
