@@ -6,9 +6,12 @@ word that it follows, so that copies of one document are no evidence; a stem
 needs several forms. The words' trie is walked together with the Levenshtein
 automaton of a word, whose states are rows of the edit table cut off above
 the allowed number of edits; that finds the terms within 0, 1 or 2 edits of
-it (by the term's length; stems only unaltered). By the pigeonhole principle a word within k edits of a term
-keeps one of k+1 pieces of it, the first at its start, the last at its end;
-words of a fitting length that keep none are not walked.
+it (by the term's length), and the stems of FUZZY_STEM letters or more within
+1 edit of any beginning of the word. Words are kept beside the stems they
+begin with, so that misspelled forms of shorter stems are found by the whole
+word. By the pigeonhole principle a word within k edits of a term keeps one of
+k+1 pieces of it, the first at its start, the last at its end (for stems: at
+most one place from where it belongs); words that keep none are not walked.
 
 Each hit is weighed by its context window: between quotation marks it counts
 as quotation, not abuse. A logistic model over the weighted hits gives the
@@ -38,6 +41,7 @@ PER_LABEL = 2000
 CONTEXT_WORDS = 8
 LEAST_ODDS = 2.5
 STEM_LENGTHS, LEAST_FORMS = (4, 5, 6, 7, 8), 6
+FUZZY_STEM = 6
 LEAST_G = 25.0  # log-likelihood ratio of a term's counts; chance terms stay below
 CACHE_WORDS = 300_000
 TOGETHER = 64  # texts whose contexts are gathered at once
@@ -54,7 +58,9 @@ class Term:
 
 
 def edits(term: Term) -> int:
-    return 0 if term.stem or len(term.text) < 5 else 1 if len(term.text) < 10 else 2
+    if term.stem:
+        return int(len(term.text) >= FUZZY_STEM)
+    return 0 if len(term.text) < 5 else 1 if len(term.text) < 10 else 2
 
 
 class Automaton:
@@ -69,6 +75,9 @@ class Automaton:
         self.most = max(map(edits, terms), default=0)
         #: By a word's length: beginnings, ends (by their lengths) and middles that a word in reach can keep.
         self.kept: dict[int, tuple[dict[int, set[str]], dict[int, set[str]], set[str]]] = {}
+        #: The same for stems: beginnings by their lengths, and ends by their lengths and where they may stand.
+        self.stem_starts: dict[int, set[str]] = {}
+        self.stem_ends: dict[tuple[int, int], set[str]] = {}
         for i, t in enumerate(terms):
             k, n = edits(t), len(t.text)
             if not k:
@@ -76,7 +85,12 @@ class Automaton:
             node = self.trie
             for c in t.text:
                 node = node.setdefault(c, {})
-            node[""] = i
+            node["" if not t.stem else "*"] = i
+            if t.stem:
+                self.stem_starts.setdefault(n // 2, set()).add(t.text[: n // 2])
+                for at in range(n // 2 - 1, n // 2 + 2):
+                    self.stem_ends.setdefault((at, n - n // 2), set()).add(t.text[n // 2 :])
+                continue
             pieces = [t.text[j * n // (k + 1) : (j + 1) * n // (k + 1)] for j in range(k + 1)]
             for length in range(n - k, n + k + 1):
                 starts, ends, middles = self.kept.setdefault(length, ({}, {}, set()))
@@ -93,6 +107,8 @@ class Automaton:
         return tuple(out)
 
     def may_reach(self, word: str) -> bool:
+        if any(word[:n] in x for n, x in self.stem_starts.items()) or any(word[at : at + n] in x for (at, n), x in self.stem_ends.items()):
+            return True
         if (kept := self.kept.get(len(word))) is None:
             return False
         starts, ends, middles = kept
@@ -113,9 +129,11 @@ class Automaton:
         while stack:
             node, row = stack.pop()
             for c, child in node.items():
-                if c == "":
-                    if row[-1] <= edits(self.terms[child]) and (best is None or (row[-1], -self.terms[child].weight, child) < best):
-                        best = (row[-1], -self.terms[child].weight, child)
+                if c in ("", "*"):
+                    term = self.terms[child]
+                    distance = min(row) if term.stem else row[-1]  # a stem may end anywhere in the word
+                    if distance <= edits(term) and (best is None or (distance, -term.weight, child) < best):
+                        best = (distance, -term.weight, child)
                 elif min(after := self.step(row, word, c)) <= self.most:
                     stack.append((child, after))
         return None if best is None else (best[2], best[0])
@@ -233,7 +251,7 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
         if not any(term[1:].startswith(s) for s in stems):
             stems[term[1:]] = strong[term]
     terms = [Term(s, odds, True) for s, odds in stems.items()]
-    terms += [Term(t[1:], odds) for t, odds in strong.items() if t[0] == "w" and not any(t[1:].startswith(s) for s in stems)]
+    terms += [Term(t[1:], odds) for t, odds in strong.items() if t[0] == "w"]
     return sorted(terms, key=lambda t: t.text)
 
 
