@@ -113,7 +113,16 @@ def _totals(k: int, steps: list[np.ndarray], least: float, moments: bool):
 
 
 class Mixture:
-    """members: doc_key, doc_id, n_tokens, posterior; domains; targets and reached token totals; the steps of the rates."""
+    """members: doc_key, doc_id, n_tokens, posterior; domains; targets and reached token totals; the steps of the rates.
+
+    weights name known domains only, others get none; ValueError otherwise, or
+    if they are negative or all zero. residual is the largest gap between
+    reached and targets as a share of all tokens: it is TOLERANCE or less
+    where the targets were met, and more where the documents cannot meet them
+    or STEPS steps were too few. Null and empty texts have no tokens and
+    posteriors of equal parts; rows without a domain are mixed, not learned
+    from; without any domain, all rates are 1. Extra columns are not read.
+    """
 
     def __init__(self, documents: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, per_domain: int = PER_DOMAIN, tokenizer: str | None = None):
         spark = documents.sparkSession
@@ -129,11 +138,16 @@ class Mixture:
         self.members = scratch.write(keyed.mapInArrow(_posteriors(logs, tokenizer), "doc_key long, doc_id long, n_tokens long, posterior array<double>"), "members")
         if not k:
             self.targets = self.reached = np.zeros(0)
+            self.residual = 0.0
             return
         sums = self._sum(True)
         natural, second = sums[:k], sums[k:].reshape(k, k)
         size = max(1.0, natural.sum())
         share = natural / size
+        if weights and (unknown := sorted(set(weights) - set(self.domains))):
+            raise ValueError(f"weights name domains that no labelled row has: {', '.join(unknown)}")
+        if weights and not (min(weights.values()) >= 0 and sum(weights.values()) > 0):
+            raise ValueError("weights must not be negative, and not all zero")
         wanted = np.array([weights.get(d, 0.0) for d in self.domains]) if weights else np.where(share > 0, share, 1e-12) ** TEMPER
         wanted = wanted / wanted.sum()
         scale = max(share[wanted > 0] / wanted[wanted > 0]) if least >= 1 else 1.0
@@ -148,6 +162,7 @@ class Mixture:
             before, self.reached = self.reached, self._sum(False)
             if np.abs(self.reached - self.targets).sum() >= np.abs(before - self.targets).sum() * (1 - 1e-9):
                 break
+        self.residual = float(np.abs(self.reached - self.targets).max() / size)
 
     def _sum(self, moments: bool) -> np.ndarray:
         rows = self.members.select("n_tokens", "posterior").mapInArrow(_totals(len(self.domains), self.steps, self.least, moments), "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
