@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sampling import bounded, fold
@@ -70,12 +70,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(labelled: DataFrame, profile: int = PROFILE, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
     """The ranked profile of each lang, from a bounded sample of (doc_id, text, lang)."""
     counts = bounded(labelled, "lang", per_language).select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    top: dict[str, np.ndarray] = {}
-    for lang in sorted(r["lang"] for r in labelled.select("lang").distinct().collect()):
-        rows = counts.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(profile).collect()
-        if rows:
-            top[lang] = np.array([r["gram"] for r in rows], np.uint64)
-    return top
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
+    top: dict[str, list[tuple[int, int]]] = {}
+    for r in counts.withColumn("place", place).where(F.col("place") <= profile).collect():  # profile rows for each lang
+        top.setdefault(r["lang"], []).append((r["place"], r["gram"]))
+    return {lang: np.array([gram for _, gram in sorted(top[lang])], np.uint64) for lang in sorted(top)}
 
 
 class Classifier:
