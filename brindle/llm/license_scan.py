@@ -22,7 +22,10 @@ from .words import PUNCTUATION, filled, mix, powers, scan, slices
 
 K, WINDOW, BAND = 3, 2, 8
 LEAST_COVERAGE = 0.75
-# Notices of public licenses, as their authors ask to use them.
+# Texts and notices of public licenses, as their authors ask to use them.
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation, {version}, or (at your option) any later version."
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
     "mit-notice": "Released under the MIT License.",
@@ -35,6 +38,16 @@ TEMPLATES = {
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "gpl-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": _BSD + _BSD_END,
+    "bsd-3-clause": _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_END,
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software.",
+    "gpl-2.0-header": _GNU.format(name="General Public License", version="either version 2 of the License"),
+    "lgpl-2.1-header": _GNU.replace("This program is free software", "This library is free software").format(name="Lesser General Public License", version="either version 2.1 of the License"),
+    "lgpl-3.0-header": _GNU.format(name="Lesser General Public License", version="either version 3 of the License"),
+    "agpl-3.0-header": _GNU.format(name="Affero General Public License", version="either version 3 of the License"),
     "mpl-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
 SCHEMA = "doc_id long, license string, coverage double, n_matched int, n_template int, first_word int, end_word int, first_byte int, end_byte int"
@@ -98,14 +111,14 @@ def align(text: np.ndarray, template: np.ndarray, diagonal: int) -> list[tuple[i
     n, width = len(template), 2 * BAND + 1
     table = np.zeros((n + 1, width + 2), np.int32)
     same = np.zeros((n, width), bool)
-    for q in range(n):
-        for b in range(width):
-            p = q + diagonal + b - BAND
-            same[q, b] = 0 <= p < len(text) and text[p] == template[q]
+    places = np.arange(n)[:, None] + np.arange(width) + (diagonal - BAND)
+    there = (places >= 0) & (places < len(text))
+    same[there] = (text[places.clip(0, max(len(text) - 1, 0))] == template[:, None])[there] if len(text) else False
     for q in range(n - 1, -1, -1):
-        for b in range(width - 1, -1, -1):
-            down = table[q + 1, b - 1] if b else 0
-            table[q, b] = max(table[q + 1, b] + 1 if same[q, b] else 0, down, table[q, b + 1])
+        below = table[q + 1, :width]
+        row = np.where(same[q], below + 1, 0)
+        row[1:] = np.maximum(row[1:], below[:-1])
+        table[q, :width] = np.maximum.accumulate(row[::-1])[::-1]
     q, b, pairs = 0, 0, []
     while q < n and b < width:
         if same[q, b] and table[q, b] == table[q + 1, b] + 1:
