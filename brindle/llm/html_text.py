@@ -16,6 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -93,6 +94,7 @@ def parse(page: str) -> Node:
     root = top = Node("#root", None, False)
     articles, at, n = 0, 0, len(page)
     lower = None
+    opened: Counter[str] = Counter()  # on the way from the root to top
     while at < n:
         m = _TAG.search(page, at)
         if not m:
@@ -104,6 +106,8 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         tag = tag.lower()
+        if closing and not opened[tag]:
+            continue
         if closing:
             x = top
             while x is not root and x.tag != tag:
@@ -111,6 +115,7 @@ def parse(page: str) -> Node:
             if x is not root:
                 while top is not x.parent:
                     articles -= top.tag in ("article", "main")
+                    opened[top.tag] -= 1
                     top = top.parent
             continue
         if tag in CLOSES_P or tag in CLOSED_BY:
@@ -123,7 +128,9 @@ def parse(page: str) -> Node:
                     break
                 x = x.parent
             if found is not None:
-                top = found.parent
+                while top is not found.parent:
+                    opened[top.tag] -= 1
+                    top = top.parent
         node = Node(tag, top, top.dropped or _drop(tag, attributes, articles > 0))
         node.named = not node.dropped and _named(tag, attributes)
         top.kids.append(node)
@@ -137,6 +144,7 @@ def parse(page: str) -> Node:
             at = page.find(">", end) + 1 or n
         elif tag not in VOID and not attributes.endswith("/"):
             top = node
+            opened[tag] += 1
             articles += tag in ("article", "main")
     if at < n and not top.dropped:
         top.kids.append(page[at:])
