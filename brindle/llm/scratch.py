@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that the driver and all executors share.
 
 The folder is the session's ``spark.checkpoint.dir``; only where that is
-unset (tests, notebooks) a folder of this process is made and set.
+unset in a local session (tests, notebooks) a folder of this process is made
+and set.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="brindle-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)

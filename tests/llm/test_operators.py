@@ -286,6 +286,46 @@ def test_toxicity(spark, sf, odd, empty, labels):
     assert left.columns == odd.columns and left.count() == len(ODD)
 
 
+def test_toxicity_misspelled_stems():
+    terms = [toxicity.Term("achkeit", 6.0, True), toxicity.Term("boco", 5.0, True), toxicity.Term("bocolin", 5.0)]
+    match = toxicity.Automaton(terms).match
+    assert [match(w) for w in ("achkeiten", "axhkeiten", "achkiten", "achkeeiten", "hkeiten", "bocaner", "bokolin", "bocolin")] == [(0, 0), (0, 1), (0, 1), (0, 1), None, None, (2, 1), (2, 0)]
+    plain = toxicity.Automaton(terms)
+    plain.may_reach = lambda word: True
+    rng = np.random.default_rng(5)
+    for base in ("achkeit", "bocolin"):
+        for _ in range(300):
+            w = list(base + "er" * int(rng.integers(2)))
+            for _ in range(int(rng.integers(1, 3))):
+                at = int(rng.integers(len(w)))
+                w[at : at + int(rng.integers(2))] = str(rng.choice(list("abchkeit")))
+            assert match("".join(w)) == plain.match("".join(w))  # the filter before the walk loses nothing
+
+
+def test_mixing_weights(odd):
+    for bad in ({"xx": 1.0}, {"en": 0.0}, {"en": -1.0, "de": 2.0}):
+        with pytest.raises(ValueError):
+            mixing.Mixture(odd, "lang", bad)
+    assert mixing.Mixture(odd, "lang", {"en": 1.0, "de": 1.0}).residual >= 0
+
+
+def test_license_versions_and_alignment(spark):
+    t = license_scan.TEMPLATES
+    docs = [(i, f"some words before {t[k].lower()} and after") for i, k in enumerate(t)]
+    got = {r.doc_id: r.license for r in sorted(license_scan.scan_licenses(spark.createDataFrame(docs, "doc_id long, text string")).collect(), key=lambda r: r.n_matched)}
+    assert got == {i: k for i, k in enumerate(t)}
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        template = rng.integers(0, 6, 20).astype(np.uint64)
+        text = np.delete(np.insert(template, rng.integers(0, 20, 3), 9), rng.integers(0, 20, 2))
+        pairs = license_scan.align(text, template, 0)
+        best = np.zeros((len(text) + 1, 21), int)
+        for p in range(len(text)):
+            for q in range(20):
+                best[p + 1, q + 1] = best[p, q] + 1 if text[p] == template[q] else max(best[p, q + 1], best[p + 1, q])
+        assert len(pairs) == best[-1, -1] and all(text[p] == template[q] for p, q in pairs) and pairs == sorted(set(pairs))
+
+
 def test_mixing(spark, sf, odd, empty):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     m = mixing.Mixture(docs, "lang", {"en": 0.25, "de": 0.25, "fr": 0.25, "es": 0.25})
