@@ -40,3 +40,13 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         if not changed:
             scratch.drop(f"{name}-edges")
             return labels
+
+
+def merged(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(node, label) after more links (a, b): components found before count as one node each, so old edges are not walked again."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
+    ends = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    edges = ends.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
+    over = connected(edges, scratch, name).select(F.col("node").alias("label"), F.col("label").alias("top"))
+    every = labels.union(over.select("label", F.col("label").alias("own"))).distinct()  # a component's label is one of its nodes
+    return scratch.write(every.join(over, "label", "left").select("node", F.coalesce("top", "label").alias("label")), f"{name}-merged")

@@ -40,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected
+from .components import connected, merged
 from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
@@ -321,19 +321,16 @@ def near_duplicates(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     ends = candidates.select("a", "b", F.explode(F.array("a", "b")).alias("node"), "alike")
     best = ends.groupBy("node").agg(F.max(F.struct("alike", "a", "b")).alias("x")).select("x.a", "x.b").distinct()
-    links = verify(best, "links-best")
-    joined = connected(links, scratch, "best")
+    joined = connected(verify(best, "links-best"), scratch, "best")
     label = lambda side: joined.select(F.col("node").alias(side), F.col("label").alias(f"{side}_label"))
     rest = (
         candidates.select("a", "b").join(best, ["a", "b"], "left_anti")
         .join(label("a"), "a", "left").join(label("b"), "b", "left")
         .where("coalesce(a_label, a) <> coalesce(b_label, b)")
     )
-    links = links.union(verify(rest, "links-rest"))
-    near = connected(links, scratch, "near")
+    near = merged(joined, verify(rest, "links-rest"), scratch, "near")
     crowd = scratch.write(cut.join(near, "node", "left").select("node", F.coalesce("label", "node").alias("label")).join(members, "node"), "crowd", "lz4")
-    links = links.union(_finished(crowd, scratch, percent))
-    labels = connected(links, scratch, "all")
+    labels = merged(near, _finished(crowd, scratch, percent), scratch, "all")
     found = nodes.select("node", "doc_id").join(labels, "node")
     smallest = found.groupBy("label").agg(F.min("doc_id").alias("component"))
     component = found.join(smallest, "label").select("node", "component")
