@@ -75,7 +75,7 @@ ask("sql_output_names", "nation", "SELECT n_name, n_regionkey + 1, COUNT(*) OVER
 # subqueries
 ask("sql_scalar_subquery", "customer", "SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer)")
 ask("sql_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
-ask("sql_not_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
+ask("sql_not_exists", "customer orders", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 400000)")
 ask("sql_in_subquery", "supplier nation", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) OR s_suppkey NOT IN (SELECT n_nationkey FROM nation)")
 ask("sql_derived_table", "orders", "SELECT k, n FROM (SELECT o_custkey AS k, COUNT(*) AS n FROM orders GROUP BY o_custkey) WHERE n > 15", "SELECT k, n FROM (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY o_custkey) t WHERE n > 15")
 
@@ -144,7 +144,7 @@ ask("sql_union_all", "supplier customer", "SELECT s_nationkey AS k FROM supplier
 ask("sql_union", "supplier nation", "SELECT s_nationkey AS k FROM supplier UNION SELECT n_nationkey FROM nation WHERE n_regionkey = 2")
 ask("sql_intersect", "supplier customer", "SELECT s_nationkey AS k FROM supplier WHERE s_acctbal > 5000 INTERSECT SELECT c_nationkey FROM customer")
 ask("sql_except", "nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000")
-ask("sql_except_all", "supplier nation", "SELECT s_nationkey AS k FROM supplier EXCEPT ALL SELECT n_nationkey FROM nation")
+ask("sql_except_all", "customer nation", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT n_nationkey FROM nation")
 ask("sql_intersect_all", "supplier customer", "SELECT s_nationkey AS k FROM supplier INTERSECT ALL SELECT c_nationkey FROM customer")
 ask(
     "sql_set_chain", "nation supplier customer", "SELECT n_nationkey AS k FROM nation UNION SELECT s_nationkey FROM supplier INTERSECT SELECT c_nationkey FROM customer WHERE c_acctbal > 9800",
