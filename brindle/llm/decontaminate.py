@@ -98,13 +98,16 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> Data
     some item of its length holds, or ends with the text; ties go to the
     first such window. A text shorter than an item is one window.
     doc_key is a hash of doc_id and text, see keyed(): equal rows are one
-    document here. Null and empty texts, items without words, and empty
-    tables give no rows. Only doc_id, item_id and the texts are read.
+    document here. Equal rows of benchmark are one item; different texts
+    with one item_id (null too) are compared each, and the best is reported.
+    Null and empty texts, items without words, and empty tables give no rows.
+    Only doc_id, item_id and the texts are read.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "leaks")
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("len"), F.least(F.size("words"), F.lit(WIDTH)).alias("width"))
-    per_width = [items.where(F.col("width") == w).select("item_id", "len", "width", F.posexplode_outer(shingles_of(F.col("words"), w)).alias("q", "h")) for w in range(1, WIDTH + 1)]
+    read = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    items = read.select(F.xxhash64("item_id", "words").alias("item"), "item_id", "words", F.size("words").alias("len"), F.least(F.size("words"), F.lit(WIDTH)).alias("width")).dropDuplicates(["item"])
+    per_width = [items.where(F.col("width") == w).select("item", "item_id", "len", "width", F.posexplode_outer(shingles_of(F.col("words"), w)).alias("q", "h")) for w in range(1, WIDTH + 1)]
     known = per_width[0]
     for more in per_width[1:]:
         known = known.union(more)
@@ -136,17 +139,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 75) -> Data
 
     window = ["doc_key", "width", "len", "start"]
     prints = scratch.write(simhash(rows, *window).withColumnRenamed("n", "n_window"), "prints")
-    item_prints = simhash(known, "item_id", "width", "len").select("item_id", "width", "len", F.col("n").alias("n_item"), F.col("fp").alias("item_fp"))
-    index = item_prints.select("*", _blocks("item_fp")).select("*", _flips().alias("flip")).select("item_id", "width", "len", "n_item", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
+    item_prints = simhash(known, "item", "width", "len").select("item", "width", "len", F.col("n").alias("n_item"), F.col("fp").alias("item_fp"))
+    index = item_prints.select("*", _blocks("item_fp")).select("*", _flips().alias("flip")).select("item", "width", "len", "n_item", "item_fp", "block", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
     probes = prints.select("*", _blocks("fp"))
     near = probes.join(_small(index), ["width", "len", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    candidates = near.select(*window, "n_window", "item_id", "n_item").distinct()
+    candidates = near.select(*window, "n_window", "item", "n_item").distinct()
 
     counted = rows.groupBy(*window, "h").agg(F.count(F.lit(1)).alias("c"))
-    item_counts = known.groupBy("item_id", "h").agg(F.count(F.lit(1)).alias("c_item"))
-    shared = candidates.join(counted, window).join(_small(item_counts), ["item_id", "h"]).groupBy(*window, "item_id", "n_window", "n_item").agg(F.sum(F.least("c", "c_item")).alias("shared"))
+    item_counts = known.groupBy("item", "h").agg(F.count(F.lit(1)).alias("c_item"))
+    shared = candidates.join(counted, window).join(_small(item_counts), ["item", "h"]).groupBy(*window, "item", "n_window", "n_item").agg(F.sum(F.least("c", "c_item")).alias("shared"))
     scored = shared.withColumn("total", F.col("n_window") + F.col("n_item") - F.col("shared")).where(100 * F.col("shared") >= percent * F.col("total"))
-    best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("s"), (-F.col("start")).alias("at"), F.col("len"), "shared", "total")).alias("x"))
+    names = known.select("item", "item_id").distinct()
+    best = scored.join(_small(names), "item").groupBy("doc_key", "item_id").agg(F.max(F.struct((F.col("shared") / F.col("total")).alias("s"), (-F.col("start")).alias("at"), F.col("len"), "shared", "total")).alias("x"))
     out = best.join(there.select("doc_key", "doc_id"), "doc_key").select("doc_key", "doc_id", "item_id", (-F.col("x.at")).alias("first_word"), F.col("x.len").alias("n_words"), "x.shared", "x.total")
     return scratch.write(out, "leaks")
 
@@ -159,4 +163,4 @@ def without_leaks(documents: DataFrame, benchmark: DataFrame, percent: int = 75)
     """The rows of documents that leak no item, all their columns as they are (a column doc_key of their own included)."""
     gone = leaks(documents, benchmark, percent).select(F.col("doc_key").alias("__leaking")).distinct()
     key = F.xxhash64(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")))
-    return documents.join(_small(gone, 2_000_000), key == F.col("__leaking"), "left_anti")
+    return documents.join(_small(gone, 2_000_000), key == gone["__leaking"], "left_anti")
