@@ -346,14 +346,14 @@ def deduplicated(documents: DataFrame, percent: int = 75) -> DataFrame:
 
     Rows with a null doc_id have no name by which they could go and stay.
     """
-    gone = near_duplicates(documents, percent).where("not kept").select(F.col("doc_id").alias("__gone"))
-    left = documents.join(gone.distinct(), documents["doc_id"] == F.col("__gone"), "left_anti")
+    gone = near_duplicates(documents, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    left = documents.join(gone, documents["doc_id"] == gone["__gone"], "left_anti")
     text_hash = F.xxhash64(F.col("doc_id"), F.col("text"))
     repeats = documents.groupBy(text_hash.alias("__again")).count().where("count > 1").select("__again").persist()
     if repeats.isEmpty():
         return left
-    once = left.join(repeats, text_hash == F.col("__again"), "left_anti")
-    again = left.join(repeats, text_hash == F.col("__again"), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = left.join(repeats, text_hash == repeats["__again"], "left_anti")
+    again = left.join(repeats, text_hash == repeats["__again"], "left_semi").dropDuplicates(["doc_id", "text"])
     return once.union(again)
 
 
