@@ -9,6 +9,7 @@ time, apart by a NUL that no other part can produce. Texts that may hold a
 special token's string go to the tokenizer whole, and so does every text if
 the tokenizer is otherwise. Two words of one worker's table with the same
 hash would share ids: at CACHE_WORDS words the chance is below 1 to 10 million.
+A full table takes some 80 MB of a worker, by reckoning, whatever it reads.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 
 from .words import filled, scan, slices
 
-CACHE_WORDS = 1_200_000
-SLOT_BITS = 22
-RUN_WORDS = 1 << 19  # looked up at once; with CACHE_WORDS less than half of the slots
-JOINED = 512  # words
+CACHE_WORDS = 600_000
+BASE_WORDS = 200_000  # kept to know words again that differ in case or final punctuation
+SLOT_BITS = 16  # at first; the table grows so that half of it is free
+RUN_WORDS = 1 << 17  # looked up at once
+JOINED, TOGETHER = 512, 32  # words encoded as one text, such texts encoded at once
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII punctuation but the apostrophe, which may begin a contraction
 
 
@@ -68,18 +70,24 @@ class Encoder:
 
     def forget(self) -> None:
         self.bases: dict[str, bytes] = {}
-        self.slots = np.zeros(1 << SLOT_BITS, np.uint64)  # a word's hash, 0 where free
-        self.word = np.zeros(1 << SLOT_BITS, np.int32)
+        self.room(SLOT_BITS)
         self.begin, self.many, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
 
+    def room(self, bits: int) -> None:
+        self.bits = bits
+        self.slots = np.zeros(1 << bits, np.uint64)  # a word's hash, 0 where free
+        self.word = np.zeros(1 << bits, np.int32)
+
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def words(self, words: list[str]) -> list[bytes]:
         """The ids of each of some words without white space or NUL."""
         out: list[bytes] = []
-        for e, n in zip(self.tokenizer.encode_batch_fast([" \0 ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)], add_special_tokens=False), range(0, len(words), JOINED), strict=True):
-            ids = np.array(e.ids, self.dtype)
+        joined = [" \0 ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)]
+        made = (e.ids for k in range(0, len(joined), TOGETHER) for e in self.tokenizer.encode_batch_fast(joined[k : k + TOGETHER], add_special_tokens=False))
+        for own, n in zip(made, range(0, len(words), JOINED), strict=True):
+            ids = np.array(own, self.dtype)
             raw, ends = ids.tobytes(), np.flatnonzero(ids == self.nul) * self.dtype.itemsize
             starts = [0, *(ends + self.dtype.itemsize).tolist()]
             out.extend(raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)], strict=True))
@@ -96,6 +104,8 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """The ids of each of some new words, whatever characters they hold."""
+        if len(self.bases) > BASE_WORDS:
+            self.bases = {}
         out, todo, odd = [b""] * len(parts), [], []
         for k, part in enumerate(parts):
             base = part.rstrip(TAIL)
@@ -120,12 +130,12 @@ class Encoder:
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word in the table, -1 where it is not there."""
-        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         there = self.slots[at]
         out = np.where(there == hashes, self.word[at], -1)
         rest = np.flatnonzero((there != hashes) & (there != 0))
         while len(rest):
-            at[rest] = (at[rest] + 1) & ((1 << SLOT_BITS) - 1)
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
             there = self.slots[at[rest]]
             hit = rest[there == hashes[rest]]
             out[hit] = self.word[at[hit]]
@@ -139,13 +149,21 @@ class Encoder:
         self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(many) - many))
         self.many = np.concatenate((self.many, many))
         self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(ids), self.dtype)))
-        at = (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        if 2 * len(self.many) > len(self.slots):
+            used = self.slots != 0
+            before, words = self.slots[used], self.word[used]
+            self.room((2 * len(self.many) - 1).bit_length())
+            self.place(before, words)
+        self.place(hashes, number)
+
+    def place(self, hashes: np.ndarray, number: np.ndarray) -> None:
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(hashes):
             free = self.slots[at] == 0
             self.slots[at[free]] = hashes[free]
             mine = self.slots[at] == hashes
             self.word[at[mine]] = number[mine]
-            hashes, number, at = hashes[~mine], number[~mine], (at[~mine] + 1) & ((1 << SLOT_BITS) - 1)
+            hashes, number, at = hashes[~mine], number[~mine], (at[~mine] + 1) & ((1 << self.bits) - 1)
 
     def run(self, hashes: np.ndarray, spelled) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ids of each word) of at most RUN_WORDS words; spelled(i) is the i-th."""
