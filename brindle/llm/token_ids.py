@@ -9,7 +9,7 @@ time, apart by a NUL that no other part can produce. Texts that may hold a
 special token's string go to the tokenizer whole, and so does every text if
 the tokenizer is otherwise. Two words of one worker's table with the same
 hash would share ids: at CACHE_WORDS words the chance is below 1 to 10 million.
-A full table takes some 80 MB of a worker, by reckoning, whatever it reads.
+A full table takes some 250 MB of a worker, by reckoning, whatever it reads.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 
 from .words import filled, scan, slices
 
-CACHE_WORDS = 600_000
-BASE_WORDS = 200_000  # kept to know words again that differ in case or final punctuation
+CACHE_WORDS = 1_200_000
+BASE_WORDS = 800_000  # kept to know words again that differ in case or final punctuation
 SLOT_BITS = 16  # at first; the table grows so that half of it is free
 RUN_WORDS = 1 << 17  # looked up at once
 JOINED, TOGETHER = 512, 32  # words encoded as one text, such texts encoded at once
