@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected, merged
+from .resident import drop
 from .scratch import Scratch
 from .words import filled, mix, random_u64, scan, shingles, slices
 
@@ -87,6 +88,7 @@ def identity(sets: list[np.ndarray]) -> list[bytes | None]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    drop()
     for batch in batches:
         texts, ids = filled(batch.column("text")), batch.column("doc_id")
         for lo, hi, data, offsets in slices(texts):

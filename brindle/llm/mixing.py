@@ -26,6 +26,7 @@ from .words import _LOWER, _SPACE, filled, slices
 
 PER_DOMAIN = 1500
 BUCKETS = 1 << 12
+TEXTS = 512  # counted at once: a text takes 16 KB, however short it is
 SHARPNESS = 60.0  # trigrams' worth of evidence that a posterior may rest on
 STEPS, TOLERANCE = 25, 1e-6
 TEMPER = 0.7
@@ -48,7 +49,7 @@ def _domain_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     total: dict[str, np.ndarray] = {}
     for batch in batches:
         domains = batch.column("domain").to_pylist()
-        for lo, hi, data, offsets in slices(filled(batch.column("text"))):
+        for lo, hi, data, offsets in slices(filled(batch.column("text")), rows=TEXTS):
             x = bucketed(data, offsets)
             for k in range(lo, hi):
                 total[domains[k]] = total.get(domains[k], 0) + x[k - lo].astype(np.float64)
@@ -67,14 +68,14 @@ def fit(documents: DataFrame, domain: str, per_domain: int = PER_DOMAIN) -> tupl
     return domains, np.log(counts / counts.sum(axis=0))
 
 
-def _posteriors(logs: np.ndarray, tokenizer: str):
+def _posteriors(logs: np.ndarray, tokenizer: str, words: int | None = None):
     weights = logs.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer)
+        coder = encoder(tokenizer, words=words)
         for batch in batches:
             texts = filled(batch.column("text"))
-            for lo, hi, data, offsets in slices(texts):
+            for lo, hi, data, offsets in slices(texts, rows=TEXTS):
                 x = bucketed(data, offsets)
                 n = x.sum(axis=1, keepdims=True)
                 z = (x @ weights).astype(np.float64) / np.maximum(n, 1) * np.minimum(n, SHARPNESS)
@@ -122,9 +123,10 @@ class Mixture:
     or STEPS steps were too few. Null and empty texts have no tokens and
     posteriors of equal parts; rows without a domain are mixed, not learned
     from; without any domain, all rates are 1. Extra columns are not read.
+    words bounds a worker's word table, see token_ids; it changes no result.
     """
 
-    def __init__(self, documents: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, per_domain: int = PER_DOMAIN, tokenizer: str | None = None):
+    def __init__(self, documents: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None, least: float = 0.0, per_domain: int = PER_DOMAIN, tokenizer: str | None = None, words: int | None = None):
         spark = documents.sparkSession
         scratch = Scratch(spark, "mixing")
         if tokenizer is None:
@@ -135,7 +137,7 @@ class Mixture:
         self.domains, logs = fit(documents, domain, per_domain)
         k = len(self.domains)
         keyed = documents.select(_key(documents).alias("doc_key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-        self.members = scratch.write(keyed.mapInArrow(_posteriors(logs, tokenizer), "doc_key long, doc_id long, n_tokens long, posterior array<double>"), "members")
+        self.members = scratch.write(keyed.mapInArrow(_posteriors(logs, tokenizer, words), "doc_key long, doc_id long, n_tokens long, posterior array<double>"), "members")
         if not k:
             self.targets = self.reached = np.zeros(0)
             self.residual = 0.0

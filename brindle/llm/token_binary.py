@@ -138,19 +138,20 @@ class TokenFiles:
         return rows.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None) -> TokenFiles:
+def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1, path: str | None = None, words: int | None = None) -> TokenFiles:
     """Encodes every whole text (null: empty) and writes the ids, each document's followed by end_id, to the folder path.
 
     Documents ascend by doc_id, null first; rows with one doc_id are ordered
     by their number of ids and the ids. Only doc_id and text are read.
     An empty table gives no blocks. Without path the files go to the shared
-    folder.
+    folder. words bounds a worker's word table, see token_ids; it changes no
+    result.
     """
     spark = documents.sparkSession
     scratch = Scratch(spark, "tokens")
     path = path or scratch.path("files")
     dtype = token_ids.dtype_of(tokenizer_path)
-    made = documents.select("doc_id", "text").mapInArrow(token_ids.tokenised(tokenizer_path, end_id, counts=True), token_ids.SCHEMA)
+    made = documents.select("doc_id", "text").mapInArrow(token_ids.tokenised(tokenizer_path, end_id, counts=True, words=words), token_ids.SCHEMA)
     ids = scratch.write(made, "ids")
     frequency = ids.where(F.col("kind") == token_ids.COUNTS).select("ids").mapInArrow(_explode_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     vocabulary = token_ids.load(tokenizer_path, False).get_vocab_size()
@@ -172,6 +173,6 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, end_id: int = 1
     return TokenFiles(spark, path)
 
 
-def token_digest(documents: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
+def token_digest(documents: DataFrame, tokenizer_path: str, end_id: int = 1, words: int | None = None) -> DataFrame:
     """Writes the token files and reads them back: doc_id, start, n_tokens, ids_crc32."""
-    return write_token_files(documents, tokenizer_path, end_id).read()
+    return write_token_files(documents, tokenizer_path, end_id, words=words).read()

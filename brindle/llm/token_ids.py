@@ -9,7 +9,8 @@ time, apart by a NUL that no other part can produce. Texts that may hold a
 special token's string go to the tokenizer whole, and so does every text if
 the tokenizer is otherwise. Two words of one worker's table with the same
 hash would share ids: at CACHE_WORDS words the chance is below 1 to 10 million.
-A full table takes some 250 MB of a worker, by reckoning, whatever it reads.
+A full table takes some 250 MB of a worker, by reckoning, whatever it reads;
+a caller whose workers have less room gives a smaller number of words.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .resident import kept
 from .words import filled, scan, slices
 
 CACHE_WORDS = 1_200_000
@@ -58,7 +60,8 @@ def splits_as_assumed(tokenizer) -> bool:
 
 
 class Encoder:
-    def __init__(self, path: str, special_as_text: bool = False):
+    def __init__(self, path: str, special_as_text: bool = False, words: int | None = None):
+        self.most_words, self.most_bases = (CACHE_WORDS, BASE_WORDS) if words is None else (words, 2 * words // 3)
         self.tokenizer = load(path, special_as_text)
         self.by_word = splits_as_assumed(self.tokenizer)
         self.marks = [] if special_as_text else sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
@@ -104,7 +107,7 @@ class Encoder:
 
     def learn(self, parts: list[str]) -> list[bytes]:
         """The ids of each of some new words, whatever characters they hold."""
-        if len(self.bases) > BASE_WORDS:
+        if len(self.bases) > self.most_bases:
             self.bases = {}
         out, todo, odd = [b""] * len(parts), [], []
         for k, part in enumerate(parts):
@@ -169,7 +172,7 @@ class Encoder:
         """(ids, ids of each word) of at most RUN_WORDS words; spelled(i) is the i-th."""
         at = self.find(hashes)
         if (at < 0).any():
-            if len(self.many) > CACHE_WORDS:
+            if len(self.many) > self.most_words:
                 self.forget()
                 at = self.find(hashes)
             missing = np.flatnonzero(at < 0)
@@ -212,10 +215,9 @@ class Encoder:
         return np.concatenate(ids), np.concatenate(counts)
 
 
-@functools.cache
-def encoder(path: str, special_as_text: bool = False) -> Encoder:
-    """The worker's encoder; its cache serves task after task."""
-    return Encoder(path, special_as_text)
+def encoder(path: str, special_as_text: bool = False, words: int | None = None) -> Encoder:
+    """The worker's only encoder, whichever operator asks for it; its cache serves task after task."""
+    return kept(("encoder", path, special_as_text, words), lambda: Encoder(path, special_as_text, words))
 
 
 COUNTS = "counts"
@@ -223,11 +225,11 @@ IDS = "ids"
 SCHEMA = "kind string, doc_id long, n_tokens long, ids binary"
 
 
-def tokenised(path: str, end_id: int | None, special_as_text: bool = False, counts: bool = False):
+def tokenised(path: str, end_id: int | None, special_as_text: bool = False, counts: bool = False, words: int | None = None):
     """For mapInArrow over (doc_id, text): rows of ids, the end id included; with counts, one row of id frequencies for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path, special_as_text)
+        coder = encoder(path, special_as_text, words)
         seen = np.zeros(coder.tokenizer.get_vocab_size() if counts else 0, np.int64)
         for batch in batches:
             texts = filled(batch.column("text"))

@@ -20,7 +20,6 @@ score.
 
 from __future__ import annotations
 
-import functools
 import math
 import re
 from collections import Counter
@@ -33,6 +32,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .resident import drop, kept
 from .sampling import bounded, fold
 from .scratch import small_batches
 from .words import filled, scan, slices
@@ -201,6 +201,7 @@ def _contexts(among: frozenset[str] | None):
     """Distinct (term, form, word before it) of texts; terms are w + a word, or s + the beginning of one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop()
         for texts in (filled(b.column("text")).slice(k, TOGETHER) for b in batches for k in range(0, len(b), TOGETHER)):
             seen: set[tuple[str, str, str]] = set()
             for text in texts.to_pylist():
@@ -281,9 +282,8 @@ def _features(terms: list[Term]):
     return run
 
 
-@functools.lru_cache(1)
 def _scorer(terms: tuple[Term, ...]) -> Scorer:
-    return Scorer(list(terms))
+    return kept(("scorer", terms), lambda: Scorer(list(terms)))
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,9 @@ from brindle.llm import decontaminate, minhash_dedup, mixing, token_binary, toxi
 from brindle.llm.queries import END_ID, tokenizer_path
 from brindle.llm.scratch import Scratch
 
+#: Of a worker's word table in mixing and the token files: beside what all stages leave in an executor there is less room than in one operator alone.
+WORDS = 300_000
+
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the toxicity model rejects."""
@@ -28,12 +31,12 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated until the languages' token totals have their tempered shares; none is lost."""
-    return mixing.mixed(docs, domain="lang", least=1.0)
+    return mixing.mixed(docs, domain="lang", least=1.0, words=WORDS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token files, and from them doc_id, start, n_tokens, ids_crc32."""
-    return token_binary.token_digest(docs, tokenizer_path(), END_ID)
+    return token_binary.token_digest(docs, tokenizer_path(), END_ID, words=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
